@@ -152,7 +152,7 @@ def _runs(batch: Batch, length: int) -> _Runs:
         b = np.append(a[1:], len(start)) - 1
         place = start[a] - at[a] - lo
         whole = hash_spans(batch.buf, start[a], start[b] + length) ^ mix((place + width).astype(np.uint64))
-        found.append((start[a], start[b], doc[a], grams[at[a]], whole))
+        found.append((start[a], start[b], doc[a], mix(grams[at[a]]), whole))  # mixed again: anchors are small hashes
     if not found:
         return _Runs(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)))
     return _Runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
