@@ -51,6 +51,8 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/waymark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # Shuffle files stay on the executors' disks until the driver collects its garbage; this round's are of no more use.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

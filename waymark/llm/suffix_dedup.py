@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from waymark.llm.exchange import NOTE, Batch, Batches, by_part, id_array, pack, unpack
+from waymark.llm.exchange import NOTE, Batch, Batches, by_part, id_array, pack, part_of, unpack
 from waymark.llm.text import SLICE_BYTES, covered, hash_spans, mix, rolling
 
 _GRAM = 32
@@ -114,10 +114,11 @@ def starts_earlier(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
 
 @dataclass
 class _Runs:
-    """Runs of window starts with one anchor: first and last start, document, anchor hash and hash of all their bytes."""
+    """Runs of window starts with one anchor: first and last start, the anchor's place, document, anchor hash and hash of all their bytes."""
 
     first: np.ndarray
     last: np.ndarray
+    at: np.ndarray
     doc: np.ndarray
     anchor: np.ndarray
     whole: np.ndarray
@@ -152,9 +153,9 @@ def _runs(batch: Batch, length: int) -> _Runs:
         b = np.append(a[1:], len(start)) - 1
         place = start[a] - at[a] - lo
         whole = hash_spans(batch.buf, start[a], start[b] + length) ^ mix((place + width).astype(np.uint64))
-        found.append((start[a], start[b], doc[a], mix(grams[at[a]]), whole))  # mixed again: anchors are small hashes
+        found.append((start[a], start[b], at[a] + lo, doc[a], mix(grams[at[a]]), whole))  # mixed again: anchors are small hashes
     if not found:
-        return _Runs(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)))
+        return _Runs(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)))
     return _Runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
@@ -197,7 +198,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False)
     def send_kinds(batch: Batch, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         runs, first, kind, _ = kinds(batch)
         ids, at = place(batch, runs, first)
-        yield NOTE, pack(runs.first.astype(np.uint64), (runs.last - runs.first).astype(np.int32), kind.astype(np.int32), runs.anchor[first])
+        yield NOTE, pack(runs.first.astype(np.uint64), (runs.last - runs.first).astype(np.int32), (runs.at - runs.first).astype(np.int32), kind.astype(np.int32), np.bincount(part_of(runs.anchor[first], parts), minlength=parts).astype(np.int32))
         for p, where in by_part(runs.anchor[first], parts):
             known, local = np.unique(ids[where], return_inverse=True)
             # hashes are not in order here, so only the anchors gain from differences
@@ -221,21 +222,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False)
         state[order] = np.where(new, 2 * many[group], 1)
         return [x.tobytes() for x in np.split(state, np.cumsum(sizes)[:-1])]
 
-    def states(heard: dict[int, bytes], keys: np.ndarray, offset: int) -> np.ndarray:
-        out = np.zeros(len(keys), np.uint8)
-        for p, where in by_part(keys, parts):
-            if offset + p in heard:
-                out[where] = np.frombuffer(heard[offset + p], np.uint8)
-        return out
-
     def mixed(batch: Batch, heard: dict[int, bytes]) -> tuple[_Runs, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The runs, the first of each kind, each run's kind, the kinds' states, and the anchors and first runs of those in state 2."""
-        starts, more, kind, anchor = unpack(heard[NOTE])
+        """The runs, the first of each kind, each run's kind, the kinds' states, and the first runs of those in state 2, by anchor."""
+        starts, more, at, kind, counts = unpack(heard[NOTE])
         starts = starts.astype(np.int64)
-        runs = _Runs(starts, starts + more, np.searchsorted(batch.offsets, starts, "right") - 1, anchor[kind], anchor[:0])
+        doc = np.searchsorted(batch.offsets, starts, "right") - 1
+        runs = _Runs(starts, starts + more, starts + at, doc, np.zeros(len(starts), np.uint64), np.zeros(0, np.uint64))
         first = np.unique(kind, return_index=True)[1]
-        state = states(heard, anchor, 0)
-        return runs, first, kind, state, first[state == 2]
+        state = np.frombuffer(b"".join(heard[p] for p in range(parts) if counts[p]), np.uint8)
+        chosen = np.sort(first[state == 2])
+        runs.anchor[chosen] = hash_spans(batch.buf, runs.at[chosen], runs.at[chosen] + min(_GRAM, length))
+        return runs, first, kind, state, chosen[np.argsort(runs.anchor[chosen], kind="stable")]
 
     def send_segments(batch: Batch, heard: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         runs, _, _, _, chosen = mixed(batch, heard)
