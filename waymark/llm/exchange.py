@@ -14,16 +14,15 @@ never a row per occurrence, and no task holds more than one part or one batch.
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.tables import stored
 from waymark.llm.text import as_bytes
 
 #: Stands for a null doc_id: such rows count as the largest id.
@@ -37,25 +36,6 @@ BATCH_BYTES = 2 << 20
 PART_BYTES = 16 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="waymark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as a table to the shared folder and read again: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/waymark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files stay on the executors' disks until the driver collects its garbage; this round's are of no more use.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays as compressed bytes: differences of uint64 arrays (sorted ones become small), byte planes apart."""
     head, body = struct.pack("<B", len(arrays)), []

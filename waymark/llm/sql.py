@@ -2,6 +2,60 @@
 
 from __future__ import annotations
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+JACCARD = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') AS w FROM documents),
+shingles AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i : i + 2], ' ') FOR i IN range(1, len(w) - 1)]) END AS s FROM words),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM shingles),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.x = b.x AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT p.b, r.root FROM reach r JOIN pairs p ON p.a = r.id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.root) AS component_id
+FROM shingles s JOIN reach r ON r.id = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+DECONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_ALNUM}'), []) AS w FROM documents),
+b AS (SELECT item_id, coalesce(regexp_extract_all({_LOWER}, '{_ALNUM}'), []) AS w FROM benchmark),
+items AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest([array_to_string(w[i : i + least(10, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(10, len(w)) + 2)]) AS x
+  FROM b WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM items),
+windows AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest([array_to_string(w[i : i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS x
+  FROM d, lengths WHERE len(w) >= n),
+hits AS (SELECT w.doc_id, w.n, w.i, t.item_id FROM windows w JOIN items t ON t.n = w.n AND t.x = w.x),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS h FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+SUBSTRINGS = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_SPACED}'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest([md5_number(array_to_string(w[i : i + 12], ' ')) FOR i IN range(1, len(w) - 11)]) AS x
+  FROM d WHERE len(w) >= 13),
+gone AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS least FROM windows) WHERE least < doc_id),
+removed AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS r FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, w, coalesce(len(r), 0) AS n, map_from_entries([(j, true) FOR j IN coalesce(r, [])]) AS r FROM d LEFT JOIN removed USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN n = 0 THEN w ELSE [w[j] FOR j IN range(1, len(w) + 1) IF r[j] IS NULL] END, ' '), '')) AS kept_sha256
+FROM kept
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_jaccard_join": JACCARD, "op6_benchmark_decontamination": DECONTAMINATION, "op9_substring_dedup": SUBSTRINGS}
