@@ -12,7 +12,7 @@ from waymark.llm.tables import stored
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 #: Measures that are compared with a threshold, and the least threshold each can get: below it nothing is an outlier.
-FLOORS = {"symbol_share": 0.02, "shout_share": 0.3, "repeat_share": 0.1, "line_share": 0.2, "word_length": 12.0, "mark_share": 0.08}
+FLOORS = {"symbol_share": 0.02, "shout_share": 0.3, "repeat_share": 0.2, "line_share": 0.3, "word_length": 12.0, "mark_share": 0.08}
 #: A group's own thresholds count from so many documents; smaller groups take those of their language, then of all.
 LEAST_ROWS = 200
 

@@ -145,11 +145,11 @@ def surrogate(kind: str, value: str, key: bytes, turn: int = 0) -> str:
     if kind == "card":
         valid = _luhn(own)
         if valid:  # the check digit follows from the others
-            head = _permuted(key, tweak + "|luhn", own[:-1])
+            head = own[0] + _permuted(key, f"{tweak}|luhn|{own[0]}", own[1:-1])
             return _digits_like(value, head + next(d for d in "0123456789" if _luhn(head + d)))
-        out = _permuted(key, tweak, own)
-        while _luhn(out):
-            out = _permuted(key, tweak, out)
+        out = own
+        while out == own or _luhn(out):  # the first digit, the kind of card, stays
+            out = own[0] + _permuted(key, f"{tweak}|{own[0]}", out[1:])
         return _digits_like(value, out)
     if kind in ("phone", "ssn"):
         country = re.match(r"\+(\d{1,3})(?=[ .(-])", value)
@@ -164,6 +164,8 @@ def surrogate(kind: str, value: str, key: bytes, turn: int = 0) -> str:
         return _cased(value, f"{_permuted(key, tweak, local)}@{_permuted(key, tweak + '|domain', name)}{dot}{top}")
     if kind == "name":
         return " ".join(_name(key, tweak, x) for x in value.split(" "))
+    if kind == "secret" and re.fullmatch(r"[0-9a-f]{2,}", value):
+        return f"{_next(key, f'{tweak}|hex{len(value)}', int(value, 16), 16 ** len(value)):0{len(value)}x}"
     if kind == "iban":
         return _cased(value, "".join(re.match(r"(..)(.*)", value)[1].lower() + _permuted(key, tweak, value[2:])))
     return _cased(value, _permuted(key, tweak + "|" + "".join("A" if c.isupper() else "a" for c in value), value))
