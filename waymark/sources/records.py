@@ -16,19 +16,14 @@ def jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def write_jsonl(items: DataFrame, path: str) -> None:
     """Rows of jsonl() as lines again: other fields as they were, labels as they are now, nulls left out."""
-    from waymark.functions.parsing import let
-
     labels = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in LABELS]), F.array(*[F.to_json(F.struct(F.col(c).alias("v"))) for c in LABELS])), lambda _, v: v != "{}")
     if "record" not in items.columns:
         items.write.mode("overwrite").json(path)
         return
     inner = lambda v: F.substring(v, F.lit(6), F.length(v) - 6)
     rest = F.map_filter(F.from_json("record", "map<string, string>"), lambda k, _: ~k.isin(*LABELS))
-    field = lambda k, v: F.concat(F.to_json(F.struct(k.alias("v"))), v)
     own = F.transform(F.map_entries(labels), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), inner(e["value"])))
     others = F.transform(F.map_entries(rest), lambda e: F.concat(inner(F.to_json(F.struct(e["key"].alias("v")))), F.lit(": "), _literal(e["value"])))
-    del field
-    let(own, lambda x: x)
     items.select(F.concat(F.lit("{"), F.array_join(F.concat(own, others), ", "), F.lit("}")).alias("value")).write.mode("overwrite").text(path)
 
 
