@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ _BAND = 1.4
 _TILE = 4096
 #: Candidates of one leader that are compared in one piece.
 _FANOUT = 2000
+#: Rows of candidates (some bytes each) that are broadcast to the texts; more are joined by a shuffle.
+_BROADCAST_ROWS = 200_000
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -61,10 +64,22 @@ def _families(n: int, num: int, den: int) -> list[int]:
     return [band, band - 1] if band and num * n < den * low + den else [band]
 
 
-def _pieces(band: int, num: int, den: int) -> int:
-    """One more than the differences two linked sets can have whose smaller one is in the band: at least one piece of the hash space is the same in both."""
+@cache
+def _pieces(band: int, num: int, den: int) -> tuple[int, int]:
+    """Into how many pieces sets of a band are cut, and how many of them may be empty.
+
+    Two linked sets whose smaller one is in the band differ in so many pieces
+    at most that of the others, which are the same in both, one more is left
+    than may be empty.
+    """
     smaller = int(np.ceil(_BAND ** (band + 1)))
-    return int(_most_different(smaller + smaller * den // num, num, den)) + 1
+    differ = int(_most_different(smaller + smaller * den // num, num, den))
+    spare = 0
+    for _ in range(4):  # about two and a half deviations above the pieces that are empty by chance
+        pieces = differ + 1 + spare
+        chance = pieces * np.exp(-1.1 * _BAND**band / pieces)
+        spare = int(chance + 2.5 * np.sqrt(chance))
+    return differ + 1 + spare, spare
 
 
 def _cut(shingles: np.ndarray, pieces: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,20 +93,21 @@ def _cut(shingles: np.ndarray, pieces: int, seed: int) -> tuple[np.ndarray, np.n
 def tile_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the tiles a set belongs to; linked different sets share at least one.
 
-    Where pieces of a set hold nothing, equal emptiness says little; sets with
-    such pieces are cut a second time, by other hashes, and share a key of that
-    cut or, failing that, a pair of pieces empty in both cuts.
+    Where pieces of a set hold nothing, equal emptiness says little. Sets with
+    more such pieces than the cut has to spare are cut a second time, by other
+    hashes, and share a key of that cut or, failing that, a pair of pieces
+    empty in both cuts.
     """
     out = []
     for band in _families(len(shingles), num, den):
-        pieces = _pieces(band, num, den)
+        pieces, spare = _pieces(band, num, den)
         tag = np.uint64(0x9E3779B97F4A7C15 * (band + 1) & 0xFFFFFFFFFFFFFFFF)
         number, total = _cut(shingles, pieces, 1)
         out.append(mix(total + mix(number.astype(np.uint64) + tag)))
-        if len(number) < pieces:
+        if pieces - len(number) > spare:
             other, total = _cut(np.sort(mix(shingles ^ np.uint64(0x5851F42D4C957F2D))), pieces, 2)
             out.append(mix(total + mix(other.astype(np.uint64) + tag + np.uint64(1 << 40))))
-            if len(other) < pieces:
+            if pieces - len(other) > spare:
                 none, none2 = np.setdiff1d(np.arange(pieces), number), np.setdiff1d(np.arange(pieces), other)
                 pair = (none[:, None] * pieces + none2).ravel().astype(np.uint64)
                 out.append(mix(pair + tag + np.uint64(1 << 41)))
@@ -129,7 +145,9 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int
     sized = sized.select("a", "b", F.pmod(F.xxhash64("b"), pieces).cast("int").alias("piece"))
     leaders = sized.select("a", F.col("a").alias("b"), "piece").distinct()
     needed = sized.union(leaders).join(classes.select(F.col("id").alias("b"), F.col("doc").alias("doc_id")), "b")
-    rows = needed.join(texts, "doc_id").select("a", "piece", "b", "text", (F.col("a") != F.col("b")).alias("other"))
+    needed = stored(needed)
+    needed = F.broadcast(needed) if needed.count() <= _BROADCAST_ROWS else needed
+    rows = texts.join(needed, "doc_id").select("a", "piece", "b", "text", (F.col("a") != F.col("b")).alias("other"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, own = None, None

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from waymark.llm.text import LOWER, SPACES, as_bytes, hash_spans, rolling, slices, split
 
 #: Rows of each kind (trusted positives, unlabelled) that a fit takes at most; a documented bound.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 8_000
 _EACH = np.zeros((256, 6))
 _EACH[[*b"#*$%&|<>"], 0] = 1
 _EACH[[*b"!?"], 1] = 1
@@ -79,7 +79,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit_features(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 1500, seed: int = 7) -> Model:
+def fit_features(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 700, seed: int = 7) -> Model:
     """Minimise prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with the logistic loss l, by full-batch Adam.
 
     Where the estimated negative risk falls below zero, its gradient is
