@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.text import LOWER, SPACES, as_bytes, hash_spans, rolling, slices, split
+from waymark.llm.text import LOWER, SLICE_BYTES, SPACES, as_bytes, hash_spans, rolling, slices, split
 
 #: Rows of each kind (trusted positives, unlabelled) that a fit takes at most; a documented bound.
 SAMPLE_ROWS = 8_000
-_EACH = np.zeros((256, 6))
+_EACH = np.zeros((256, 6), np.uint8)
 _EACH[[*b"#*$%&|<>"], 0] = 1
 _EACH[[*b"!?"], 1] = 1
 _EACH[[*b".,;:'\"()-"], 2] = 1
@@ -29,7 +29,7 @@ def features(texts: pa.Array) -> np.ndarray:
     out = np.zeros((len(offsets) - 1, N_FEATURES))
     newline = np.zeros(256, bool)
     newline[10] = True
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, SLICE_BYTES // 4):
         raw, at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         w = split(raw, at, SPACES)
         h = hash_spans(LOWER[raw], w.start, w.end)
@@ -37,7 +37,7 @@ def features(texts: pa.Array) -> np.ndarray:
         lines = split(raw, at, newline)
         lh = lines.hashes()
         size = w.end - w.start
-        kinds = np.concatenate((np.zeros((1, 6)), np.cumsum(_EACH[raw], axis=0)))
+        kinds = np.concatenate((np.zeros((1, 6), np.int32), np.cumsum(_EACH[raw], axis=0, dtype=np.int32)))
         for d in range(j - i):
             a, b = int(w.first[d]), int(w.first[d + 1])
             n, row = b - a, out[i + d]

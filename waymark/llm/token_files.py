@@ -28,10 +28,10 @@ from waymark.llm.text import SPACES, as_bytes, slices, split
 #: Token ids in a block, about; a document is never divided.
 BLOCK_IDS = 1 << 19
 #: Different words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _tokenizers: dict[str, object] = {}
-_known: dict[str, dict[int, np.ndarray]] = {}
+_known: dict[str, dict[int, bytes]] = {}
 _KEY_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
@@ -49,7 +49,7 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
         _known[path] = {}
     tokenizer, known = _tokenizers[path], _known[path]
     buf, offsets = as_bytes(texts)
-    for i, j in slices(offsets, 4 << 20):
+    for i, j in slices(offsets, 2 << 20):
         w = split(buf[offsets[i] : offsets[j]], offsets[i : j + 1], SPACES)
         unique, first, place = np.unique(w.hashes(), return_index=True, return_inverse=True)
         keys = unique.tolist()
@@ -58,12 +58,12 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
         new = [k for k, h in enumerate(keys) if h not in known]
         at = first[new]
         words = [w.buf[a:b].tobytes().decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-        for lo in range(0, len(new), 20_000):
-            for k, e in zip(new[lo : lo + 20_000], tokenizer.encode_batch_fast(words[lo : lo + 20_000], add_special_tokens=False), strict=True):
-                known[keys[k]] = np.array(e.ids, np.uint32)
+        for lo in range(0, len(new), 5_000):
+            for k, e in zip(new[lo : lo + 5_000], tokenizer.encode_batch_fast(words[lo : lo + 5_000], add_special_tokens=False), strict=True):
+                known[keys[k]] = np.array(e.ids, np.uint32).tobytes()
         pieces = [known[h] for h in keys]
-        size = np.array([len(x) for x in pieces], np.int64)
-        pool = np.concatenate([*pieces, np.zeros(0, np.uint32)])
+        size = np.array([len(x) >> 2 for x in pieces], np.int64)
+        pool = np.frombuffer(b"".join(pieces), np.uint32)
         begin = np.cumsum(size) - size
         each = size[place]
         ends = np.cumsum(each)
