@@ -18,7 +18,7 @@ END_ID = 1
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from labels and unlabelled documents, does not reject."""
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.score(docs, model, carry=docs.columns).where("predicted = 1").select(*docs.columns)
+    return quality_classifier.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.tables import stored
+from waymark.llm.tables import put_back, set_aside, stored
 from waymark.llm.text import LOWER, NOT_ALNUM, as_bytes, covered, rolling, slices, split
 
 #: Bytes of benchmark text whose windows are broadcast at once; a larger benchmark is scanned in blocks of this size.
@@ -144,9 +144,10 @@ def _report(kept: int):  # noqa: ANN202
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents") -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with the hit words' bytes cut from their texts. Columns stay as they are."""
+    plain, names = set_aside(docs)
+    found = scan(plain, benchmark, n, carry=names)
     if remove == "documents":
-        found = scan(docs, benchmark, n, carry=[c for c in docs.columns if c != "text"])
-        return found.where(~F.col("contaminated")).select(*docs.columns)
+        return put_back(found.where(~F.col("contaminated")).select("doc_id", "text", *names), docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -160,6 +161,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "doc
                     texts[i] = b"".join([*keep, raw[at:]]).decode()
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(texts, pa.string()), *rb.columns[2:-1]], rb.schema.names[:-1])
 
-    found = scan(docs, benchmark, n, carry=[c for c in docs.columns if c != "text"])
-    found = found.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")], "hits")
-    return found.mapInArrow(cut, found.drop("hits").schema).select(*docs.columns)
+    found = found.select("doc_id", "text", *names, "hits")
+    return put_back(found.mapInArrow(cut, found.drop("hits").schema), docs)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.tables import put_back, set_aside
 from waymark.llm.text import LOWER, SLICE_BYTES, SPACES, as_bytes, hash_spans, rolling, slices, split
 
 #: Rows of each kind (trusted positives, unlabelled) that a fit takes at most; a documented bound.
@@ -159,3 +160,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, carry: list[str
 
     out = rows.mapInArrow(measure, schema)
     return out.select(*kept, held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """docs that the model predicts to be good, columns as they are."""
+    plain, names = set_aside(docs)
+    found = score(plain, model, threshold, carry=["text", *names]).where("predicted = 1")
+    return put_back(found.select("doc_id", "text", *names), docs)

@@ -25,3 +25,16 @@ def stored(df: DataFrame) -> DataFrame:
     # Shuffle files stay on the executors' disks until the driver collects its garbage; this round's are of no more use.
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def set_aside(df: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list[str]]:
+    """df with all columns but its own under names that clash with nothing, and those names."""
+    extra = [c for c in df.columns if c not in own]
+    names = [f"_carried_{k}" for k in range(len(extra))]
+    return df.withColumnsRenamed(dict(zip(extra, names, strict=True))), names
+
+
+def put_back(df: DataFrame, like: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The columns of `like` under their names again, in their order."""
+    extra = [c for c in like.columns if c not in own]
+    return df.withColumnsRenamed({f"_carried_{k}": c for k, c in enumerate(extra)}).select(*like.columns)
