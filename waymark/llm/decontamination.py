@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.tables import put_back, set_aside, stored
+from waymark.llm.tables import in_arrow, put_back, set_aside, stored
 from waymark.llm.text import LOWER, NOT_ALNUM, as_bytes, covered, rolling, slices, split
 
 #: Bytes of benchmark text whose windows are broadcast at once; a larger benchmark is scanned in blocks of this size.
@@ -67,7 +67,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, carry: list[str] |
             rows = stored(rows)
         first = False
         rows = _scan_block(rows, docs.sparkSession.sparkContext.broadcast(_windows(block, n)))
-    return rows.mapInArrow(_report(len(kept)), _schema(rows, len(kept)))
+    return rows.transform(in_arrow, _report(len(kept)), _schema(rows, len(kept)))
 
 
 def _size(benchmark: DataFrame) -> int:
@@ -109,7 +109,7 @@ def _scan_block(rows: DataFrame, windows: object) -> DataFrame:
             items = [sorted(set(x)) for x in items]
             yield pa.RecordBatch.from_arrays([*rb.columns[:-2], pa.array(found, pa.binary()), pa.array(items, pa.list_(pa.int64()))], rb.schema.names)
 
-    return rows.mapInArrow(look, rows.schema)
+    return rows.transform(in_arrow, look, rows.schema)
 
 
 def _report(kept: int):  # noqa: ANN202
@@ -162,4 +162,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "doc
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(texts, pa.string()), *rb.columns[2:-1]], rb.schema.names[:-1])
 
     found = found.select("doc_id", "text", *names, "hits")
-    return put_back(found.mapInArrow(cut, found.drop("hits").schema), docs)
+    return put_back(found.transform(in_arrow, cut, found.drop("hits").schema), docs)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.tables import stored
+from waymark.llm.tables import in_arrow, stored
 from waymark.llm.text import as_bytes
 
 #: Stands for a null doc_id: such rows count as the largest id.
@@ -129,7 +129,7 @@ class Batches:
 
         self.spark = docs.sparkSession
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        self.rows = stored(rows.mapInArrow(fill, "batch long, bytes long, blob binary"))
+        self.rows = stored(rows.transform(in_arrow, fill, "batch long, bytes long, blob binary"))
         total = self.rows.agg(F.sum("bytes")).first()[0] or 0
         self.parts = max(1, -(-total // PART_BYTES))
         self.tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.parts)
@@ -158,9 +158,9 @@ class Batches:
             if payloads:
                 yield from _answers(part, batches, answer(payloads))
 
-        sent = self._with(heard).mapInArrow(out, "part long, batch long, payload binary")
+        sent = self._with(heard).transform(in_arrow, out, "part long, batch long, payload binary")
         met = sent.repartition(self.tasks, "part").sortWithinPartitions("part", "batch")
-        return stored(met.mapInArrow(meet, "batch long, part long, blob binary"))
+        return stored(met.transform(in_arrow, meet, "batch long, part long, blob binary"))
 
     def _with(self, heard: DataFrame | None) -> DataFrame:
         rows = self.rows.select("batch", F.lit(_OWN).cast("long").alias("part"), "blob")
@@ -175,7 +175,7 @@ class Batches:
             for _, batch, before in _batches(rows):
                 yield from each(batch, before)
 
-        return self._with(heard).mapInArrow(out, schema)
+        return self._with(heard).transform(in_arrow, out, schema)
 
 
 def _answers(part: int, batches: list[int], answers: list[bytes]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.tables import stored
+from waymark.llm.tables import in_arrow, stored
 from waymark.llm.text import LOWER, as_bytes, mix, rolling, slices, split
 
 _BITS = 1024
@@ -166,7 +166,7 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int
             yield _pair_batch(found)
 
     rows = rows.repartition("a", "piece").sortWithinPartitions("a", "piece", "other")
-    return stored(rows.drop("other").mapInArrow(compare, "a long, b long").distinct())
+    return stored(rows.drop("other").transform(in_arrow, compare, "a long, b long").distinct())
 
 
 def _candidates(tiles: DataFrame, every: bool, num: int, den: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _candidates(tiles: DataFrame, every: bool, num: int, den: int) -> DataFrame:
         if unit:
             yield _pair_batch(pairs(unit))
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, compare, "a long, b long").distinct()
 
 
 def _pair_batch(found: set[tuple[int, int]] | list[tuple[int, int]]) -> pa.RecordBatch:
@@ -273,11 +273,11 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             held, leader, last = key[-1], lead[-1], ids[-1]
             yield pa.RecordBatch.from_arrays([pa.array(key).filter(other), pa.array(lead).filter(other), pa.array(ids).filter(other)], ["key", "leader", "id"])
 
-    sets = stored(texts.mapInArrow(describe, "doc_id long, n long, id long, bits binary"))
+    sets = stored(texts.transform(in_arrow, describe, "doc_id long, n long, id long, bits binary"))
     classes = sets.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     classes = stored(classes)
-    entries = texts.where("doc_id is not null").mapInArrow(tile, "key long, id long").repartition("key").sortWithinPartitions("key", "id")
-    tiles = stored(entries.mapInArrow(shared, "key long, leader long, id long"))
+    entries = texts.where("doc_id is not null").transform(in_arrow, tile, "key long, id long").repartition("key").sortWithinPartitions("key", "id")
+    tiles = stored(entries.transform(in_arrow, shared, "key long, leader long, id long"))
     star = _allowed(tiles.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), classes, num, den)
     links = _verified(texts, classes, star, words, num, den)
     nodes = links.select(F.col("a").alias("id")).union(links.select("b")).union(tiles.select("id")).union(tiles.select("leader")).distinct()
@@ -315,7 +315,7 @@ def _allowed(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
             yield pa.RecordBatch.from_arrays([rb.column(k).filter(ok) for k in range(2)], ["a", "b"])
 
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ba", "nb", "bb")
-    return stored(rows.mapInArrow(look, "a long, b long"))
+    return stored(rows.transform(in_arrow, look, "a long, b long"))
 
 
 def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.tables import put_back, set_aside
+from waymark.llm.tables import in_arrow, put_back, set_aside
 from waymark.llm.text import LOWER, SLICE_BYTES, SPACES, as_bytes, hash_spans, rolling, slices, split
 
 #: Rows of each kind (trusted positives, unlabelled) that a fit takes at most; a documented bound.
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             x = features(rb.column(2))
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "kind", "x"])
 
-    got = sample.mapInArrow(measure, "doc_id long, kind int, x array<double>").orderBy("kind", "doc_id").collect()
+    got = sample.transform(in_arrow, measure, "doc_id long, kind int, x array<double>").orderBy("kind", "doc_id").collect()
     x = [np.array([r["x"] for r in got if r["kind"] == k], float).reshape(-1, N_FEATURES) for k in (0, 1)]
     if not len(x[0]) or not len(x[1]):
         zero = np.zeros(N_FEATURES)
@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, carry: list[str
             s = shared.value.score(features(rb.column(rb.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array(s, pa.float64())], [*rb.schema.names[:-1], "score"])
 
-    out = rows.mapInArrow(measure, schema)
+    out = rows.transform(in_arrow, measure, schema)
     return out.select(*kept, held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.tables import stored
+from waymark.llm.tables import in_arrow, stored
 
 # Given names by (script, gender).
 NAMES = {
@@ -211,7 +211,7 @@ def entities(docs: DataFrame, key: bytes, turn: int = 0) -> DataFrame:
             seen = {x for t in rb.column(1).to_pylist() if t for x in apply(t)[1]}
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.string()) for k in range(3)], ["type", "entity", "surrogate"])
 
-    return _rows(docs).mapInArrow(out, "type string, entity string, surrogate string").distinct()
+    return _rows(docs).transform(in_arrow, out, "type string, entity string, surrogate string").distinct()
 
 
 def collisions(found: DataFrame) -> DataFrame:
@@ -246,4 +246,4 @@ def replace(docs: DataFrame, key: str, turns: int = 8) -> DataFrame:
             columns = [pa.array([x[0] for x in done], pa.string()), pa.array([len(x[1]) for x in done], pa.int64()), pa.array([",".join(sorted({y[0] for y in x[1]})) for x in done], pa.string())]
             yield pa.RecordBatch.from_arrays([rb.column(0), *columns], ["doc_id", "text", "n_entities", "types"])
 
-    return _rows(docs).mapInArrow(out, "doc_id long, text string, n_entities long, types string")
+    return _rows(docs).transform(in_arrow, out, "doc_id long, text string, n_entities long, types string")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows, about, that Spark hands to a Python worker at once; a longer row comes alone.
+ARROW_BYTES = 8 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
@@ -38,3 +44,26 @@ def put_back(df: DataFrame, like: DataFrame, own: tuple[str, ...] = ("doc_id", "
     """The columns of `like` under their names again, in their order."""
     extra = [c for c in like.columns if c not in own]
     return df.withColumnsRenamed({f"_carried_{k}": c for k, c in enumerate(extra)}).select(*like.columns)
+
+
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | object) -> DataFrame:
+    """df.mapInArrow(f, schema) in batches of ARROW_BYTES, a setting of the session that stays; each task gives its memory back when it ends."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) != f"{ARROW_BYTES}b":
+        conf.set(name, f"{ARROW_BYTES}b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.tables import shared_folder, stored
+from waymark.llm.tables import in_arrow, shared_folder, stored
 from waymark.llm.text import SPACES, as_bytes, slices, split
 
 #: Token ids in a block, about; a document is never divided.
@@ -117,7 +117,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None)
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(size, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(rows.mapInArrow(tokens, "doc_id long, n long, ids binary"))
+    rows = stored(rows.transform(in_arrow, tokens, "doc_id long, n long, ids binary"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -131,7 +131,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
     # as many rows as the vocabulary has ids: bounded, whatever the corpus
-    counts = rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = rows.select("ids").transform(in_arrow, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     ranked = sorted((-r["n"], r["id"]) for r in counts)
     spark.createDataFrame([(k, i, -n) for k, (n, i) in enumerate(ranked)], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
     table = np.zeros(max((i for _, i in ranked), default=0) + 1, np.uint32)
@@ -164,7 +164,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.select("doc_id", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
-    ordered.mapInArrow(blocks, "shard long, block long, first long, n long, doc_ids array<long>, sizes array<long>, control binary, data binary").write.parquet(f"{path}/blocks")
+    ordered.transform(in_arrow, blocks, "shard long, block long, first long, n long, doc_ids array<long>, sizes array<long>, control binary, data binary").write.parquet(f"{path}/blocks")
     return path
 
 
@@ -199,4 +199,4 @@ def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids
-    return files.select("shard", "first", "n", "doc_ids", "sizes", "control", "data").mapInArrow(rows, schema)
+    return files.select("shard", "first", "n", "doc_ids", "sizes", "control", "data").transform(in_arrow, rows, schema)
