@@ -27,43 +27,38 @@ from waymark.llm.text import SPACES, as_bytes, slices, split
 
 #: Token ids in a block, about; a document is never divided.
 BLOCK_IDS = 1 << 19
-#: Different words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+#: Bytes of text whose different words are encoded together, and words in one call of the tokenizer.
+SLICE_WORDS_BYTES, WORDS_AT_ONCE = 8 << 20, 5_000
 
 _tokenizers: dict[str, object] = {}
-_known: dict[str, dict[int, bytes]] = {}
 _KEY_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
 def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of each text, as the tokenizer gives them without special tokens.
 
-    Words between ASCII white space are encoded once each: the tokenizers this
-    is meant for drop white space and never look across it.
+    Different words between ASCII white space are encoded once a slice, all in
+    one call: the tokenizers this is meant for drop white space and never look
+    across it.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path)
-        _known[path] = {}
-    tokenizer, known = _tokenizers[path], _known[path]
+    tokenizer = _tokenizers[path]
     buf, offsets = as_bytes(texts)
-    for i, j in slices(offsets, 2 << 20):
+    for i, j in slices(offsets, SLICE_WORDS_BYTES):
         w = split(buf[offsets[i] : offsets[j]], offsets[i : j + 1], SPACES)
-        unique, first, place = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = [k for k, h in enumerate(keys) if h not in known]
-        at = first[new]
-        words = [w.buf[a:b].tobytes().decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-        for lo in range(0, len(new), 5_000):
-            for k, e in zip(new[lo : lo + 5_000], tokenizer.encode_batch_fast(words[lo : lo + 5_000], add_special_tokens=False), strict=True):
-                known[keys[k]] = np.array(e.ids, np.uint32).tobytes()
-        pieces = [known[h] for h in keys]
-        size = np.array([len(x) >> 2 for x in pieces], np.int64)
-        pool = np.frombuffer(b"".join(pieces), np.uint32)
+        unique, at, place = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        raw = w.buf.tobytes()
+        words = [raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+        pool, size = [np.zeros(0, np.uint32)], np.zeros(len(unique), np.int64)
+        for lo in range(0, len(words), WORDS_AT_ONCE):
+            e = tokenizer.encode_batch([words[lo : lo + WORDS_AT_ONCE]], is_pretokenized=True, add_special_tokens=False)[0]
+            pool.append(np.array(e.ids, np.uint32))
+            size[lo : lo + WORDS_AT_ONCE] = np.bincount(np.array(e.word_ids, np.int64), minlength=min(WORDS_AT_ONCE, len(words) - lo))
+        pool = np.concatenate(pool)
         begin = np.cumsum(size) - size
         each = size[place]
         ends = np.cumsum(each)
