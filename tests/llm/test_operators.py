@@ -60,6 +60,19 @@ def test_quality_thresholds_spare_clean_rows(spark):
     assert {r.doc_id % 10 == 0 for r in got if r.kept} == {False} and sum(r.kept for r in got) == 540
 
 
+def test_quality_thresholds_follow_the_group(spark):
+    # long words and capitals are outliers of group a; long words are the rule in group b
+    rng = random.Random(2)
+    short, wide = ["plain", "words", "of", "some", "length", "here", "there", "and"], ["Extraordinarily", "Notwithstanding", "incomprehensible", "misunderstandings"]
+    text = lambda words: " ".join(rng.choice(words) for _ in range(40))
+    rows = [(i, text(short), "en", "a") for i in range(1200)] + [(i, text(wide), "de", "b") for i in range(1200, 1500)]
+    rows += [(1500, text(["lengthy", "adjective", "sentences", "thousand"]), "en", "a"), (1501, text(short) + " LOUD WORDS ARE HERE", "en", "a"), (1502, text(wide), "de", "b"), (1503, text(short), "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+    assert [kept[i] for i in range(1500, 1504)] == [False, False, True, True]
+    assert sum(kept.values()) >= 1490
+
+
 def test_token_files(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

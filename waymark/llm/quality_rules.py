@@ -11,10 +11,12 @@ from waymark.llm.tables import stored
 
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
-#: Measures that are compared with a threshold, and the least threshold each can get: below it nothing is an outlier.
-FLOORS = {"symbol_share": 0.02, "shout_share": 0.3, "repeat_share": 0.2, "line_share": 0.3, "word_length": 12.0, "mark_share": 0.08}
-#: A group's own thresholds count from so many documents; smaller groups take those of their language, then of all.
-LEAST_ROWS = 200
+#: Measures that are compared with a threshold, and the least step of each in a document: so many words or lines of it.
+STEPS = {"symbol_share": (1, "n_words"), "shout_share": (1, "n_words"), "repeat_share": (8, "n_words"), "line_share": (1, "n_lines"), "word_length": (0, "n_words"), "mark_share": (1, "n_words")}
+#: A threshold is the median and so many times the distance from it to the 75th percentile, or so many steps of the median document if that is more.
+SPREADS, LEAST_STEPS = 8, 3
+#: A group's threshold is drawn to its language's as by so many documents more, and a language's to that of all.
+PRIOR_ROWS = 50
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -48,7 +50,7 @@ def _repeated(words: Column, n: int) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source with the base counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the shares of FLOORS (double).
+    """doc_id, lang, source with the base counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), n_lines (int, those with words) and the measures of STEPS (double).
 
     Words are `[^\\x20\\x09-\\x0D]+` of the whole text. Windows of 8 words are
     compared by 64-bit hash. Null and empty texts have zero everywhere.
@@ -85,7 +87,7 @@ def measures(docs: DataFrame) -> DataFrame:
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return rows.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
         share("n_symbols", "word_chars").alias("symbol_share"),
         share("upper", "word_chars").alias("shout_share"),
         share("n_repeat_words", "n_words").alias("repeat_share"),
@@ -96,36 +98,40 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(rows: DataFrame, k: int = 400) -> DataFrame:
-    """Per language and source a threshold for each share: the median and three times the distance from it to the 70th percentile, FLOORS at least.
-
-    Each group has one KLL sketch a share (mergeable, some kilobytes); a
-    language's sketches are those of its sources merged, and all languages'
-    those merged again. Documents of under 20 words don't count.
+    """Per language and source a threshold for each measure of STEPS, from quantiles of the group alone.
+
+    It is the median and SPREADS times the distance from it to the 75th
+    percentile. Where most documents have nearly the same value, as zero, that
+    distance says nothing; the least is LEAST_STEPS steps of a document with the
+    group's median number of words or lines. Each group has one KLL sketch a
+    measure (mergeable, some kilobytes); a language's sketches are those of its
+    sources merged, and all languages' those merged again. A group of n
+    documents has n parts of its own threshold and PRIOR_ROWS of its language's.
+    Documents of under 20 words don't count.
     """
-    own = rows.where("n_words >= 20").groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, k).alias(c) for c in FLOORS])
-    lang = own.groupBy("lang").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, k).alias(c) for c in FLOORS])
-    every = lang.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, k).alias(c) for c in FLOORS])
+    sketched = (*STEPS, "n_words", "n_lines")
+    own = rows.where("n_words >= 20").groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(c).cast("double"), k).alias(c) for c in sketched])
+    lang = own.groupBy("lang").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, k).alias(c) for c in sketched])
+    every = lang.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, k).alias(c) for c in sketched])
 
-    def cut(prefix: str, c: str) -> Column:
-        at = lambda q: F.kll_sketch_get_quantile_double(F.col(f"{prefix}.{c}"), F.lit(q))
-        return F.greatest(F.lit(FLOORS[c]), at(0.5) + 3 * (at(0.7) - at(0.5)))
+    def cut(c: str) -> Column:
+        at = lambda x, q: F.kll_sketch_get_quantile_double(F.col(x), F.lit(q))
+        step, of = STEPS[c]
+        return at(c, 0.5) + F.greatest(SPREADS * (at(c, 0.75) - at(c, 0.5)), LEAST_STEPS * step / F.greatest(at(of, 0.5), F.lit(1.0)))
 
-    pack = lambda df, name, keys: df.select(*keys, F.struct("n", *FLOORS).alias(name))
+    pack = lambda df, name, keys: df.select(*keys, F.struct("n", *[cut(c).alias(c) for c in STEPS]).alias(name))
     own, lang, every = pack(own, "own", ["lang", "source"]), pack(lang, "by_lang", ["lang"]), pack(every, "every", [])
     groups = own.join(lang.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l"))).drop("_l")
     groups = groups.join(F.broadcast(every))  # a single row
-    chosen = [
-        F.when(F.col("own.n") >= LEAST_ROWS, cut("own", c)).when(F.col("by_lang.n") >= LEAST_ROWS, cut("by_lang", c)).otherwise(cut("every", c)).alias(f"max_{c}")
-        for c in FLOORS
-    ]
-    return groups.select("lang", "source", *chosen)
+    toward = lambda name, c, above: (F.col(f"{name}.n") * F.col(f"{name}.{c}") + PRIOR_ROWS * above) / (F.col(f"{name}.n") + PRIOR_ROWS)
+    return groups.select("lang", "source", *[toward("own", c, toward("by_lang", c, F.col(f"every.{c}"))).alias(f"max_{c}") for c in STEPS])
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row per row of docs: measures, base_failed and kept.
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows.
-    kept: not base_failed, and no share above its group's threshold. A group
+    kept: not base_failed, and no measure above its group's threshold. A group
     without a document of 20 words has only base failures. Null lang or source
     is a group of its own. Clashing extra columns are not carried.
     """
@@ -134,7 +140,7 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     out = rows.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = F.lit(True)
-    for c in FLOORS:
+    for c in STEPS:
         fine &= F.coalesce(F.col(c) <= F.col(f"max_{c}"), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & fine).drop("_lang", "_source")
 
