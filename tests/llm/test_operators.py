@@ -123,6 +123,32 @@ def test_line_dedup(spark, docs, monkeypatch, size):
     assert line_dedup.remove_chunks(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [exchange.BATCH_BYTES, 300])
+def test_line_dedup_anywhere(spark, monkeypatch, size):
+    monkeypatch.setattr(exchange, "BATCH_BYTES", size)
+    rng = random.Random(9)
+    pool = [[f"passage {k} line {j} {rng.random()}" for j in range(rng.choice([1, 2, 3, 5]))] for k in range(8)]
+    rows = []
+    for i in range(30):
+        lines = [f"own {i} {rng.random()}"]
+        for k in rng.sample(range(8), 3):
+            lines += [*pool[k], *rng.choice([[], [""], [f"between {rng.random()}"]])]
+        rows.append((i, "\n".join([*lines, f"end {i}"])))
+    rows += [(40, None), (41, ""), (42, "a\n\n\n"), (43, "r\nr\nr"), (44, "s\ns\ns\ns"), (45, "\n".join(["first", *(inner := max(pool, key=len)), "last"]))]
+    got = {r.doc_id: r for r in line_dedup.remove_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), keep_text=True, anywhere=True).collect()}
+    first = {}
+    for i, t in rows:
+        lines, gone = (t or "").split("\n"), set()
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        for a, b in zip(full, full[1:]):
+            d, at = first.setdefault(tuple(lines[a : b + 1]), (i, a))
+            if d != i or at + b - a < a:
+                gone |= set(range(a, b + 1))
+        kept = [x for k, x in enumerate(lines) if k not in gone]
+        assert (got[i].n_lines, got[i].n_removed, got[i].kept) == (len(lines), len(gone), "\n".join(kept)), i
+    assert got[45].n_removed == len(inner) > 1 and got[44].kept == "s\ns" and got[43].n_removed == 0
+
+
 @pytest.mark.parametrize("block", [1 << 20, 150])
 def test_decontamination(spark, docs, monkeypatch, block):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)

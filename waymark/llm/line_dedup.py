@@ -1,4 +1,4 @@
-"""Line dedup with content-defined chunks: repeated multi-line chunks are removed from all but their first place."""
+"""Line dedup with content-defined chunks: repeated multi-line chunks are removed from all but their first place, by content-defined chunks or at every line."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from waymark.llm.text import hash_spans, mix, rolling
 
 #: A chunk ends where the rolling hash of its last lines is divisible by this, and after so many lines at most.
 DIVISOR, MOST_LINES = 4, 64
+_SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint8)
 
 
 def _lines(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +48,18 @@ def _chunks(batch: Batch, window: int) -> tuple[np.ndarray, ...]:
     return start, end, before, begins, ends, doc[begins], key
 
 
-def remove_chunks(docs: DataFrame, window: int = 2, least_lines: int = 2, keep_text: bool = False) -> DataFrame:
+def _passages(batch: Batch, start: np.ndarray, end: np.ndarray, before: np.ndarray, lines: int) -> tuple[np.ndarray, ...]:
+    """First line, last + 1 line, document and hash of every passage of so many lines with words in a row, and any blank ones between."""
+    solid = np.concatenate(([0], np.cumsum(~np.isin(batch.buf, _SPACES))))
+    full = np.flatnonzero(solid[end] > solid[start])
+    doc = np.searchsorted(before, full, "right") - 1
+    n = max(0, len(full) - lines + 1)
+    own = np.flatnonzero(doc[:n] == doc[lines - 1 : lines - 1 + n])
+    begins, ends = full[own], full[own + lines - 1] + 1
+    return begins, ends, doc[own], mix(hash_spans(batch.buf, start[begins], end[ends - 1]) + (ends - begins).astype(np.uint64))
+
+
+def remove_chunks(docs: DataFrame, window: int = 2, least_lines: int = 2, keep_text: bool = False, anywhere: bool = False) -> DataFrame:
     """Cut every text at its newlines into chunks and remove those of `least_lines` lines or more whose bytes stand earlier in the corpus.
 
     A chunk ends where a rolling hash over the hashes of its last `window`
@@ -56,6 +68,13 @@ def remove_chunks(docs: DataFrame, window: int = 2, least_lines: int = 2, keep_t
     up. A chunk is only removed after its bytes were compared with those of
     the first.
 
+    With a boundary at every fourth line or so, most short passages inside
+    otherwise different documents share no chunk. With `anywhere` a unit starts
+    at every line instead: each passage of `least_lines` lines with words that
+    stands earlier goes, so every repeated passage of that length or more does,
+    wherever it lies; one that overlaps its own first place is left. n_chunks
+    still counts chunks.
+
     Returns doc_id, n_lines, n_removed (lines), n_chunks, kept_sha256, and kept
     (text) with keep_text. A null text is an empty one, of one empty line. A
     null doc_id counts as the largest; rows that repeat a doc_id count as its
@@ -66,6 +85,8 @@ def remove_chunks(docs: DataFrame, window: int = 2, least_lines: int = 2, keep_t
 
     def kinds(batch: Batch) -> tuple:
         start, end, before, begins, ends, doc, key = _chunks(batch, window)
+        if anywhere:
+            begins, ends, doc, key = _passages(batch, start, end, before, least_lines)
         wide = np.flatnonzero(ends - begins >= least_lines)
         unique, first, place = np.unique(key[wide], return_index=True, return_inverse=True)
         return start, end, before, begins, ends, doc, wide, unique, wide[first], place
@@ -123,7 +144,7 @@ def remove_chunks(docs: DataFrame, window: int = 2, least_lines: int = 2, keep_t
         return [np.array([first.get(k) == t for k, t in zip(x[0].tolist(), texts, strict=True)], np.uint8).tobytes() for x, texts in zip(each, cut, strict=True)]
 
     def finish(batch: Batch, heard: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        start, end, before, begins, ends, _, wide, unique, first, place = kinds(batch)
+        start, end, before, begins, ends, doc, wide, unique, first, place = kinds(batch)
         state = states({k: v for k, v in heard.items() if k < parts}, unique)
         equal = np.zeros(len(unique), bool)
         for p, where in by_part(unique, parts):
@@ -131,12 +152,17 @@ def remove_chunks(docs: DataFrame, window: int = 2, least_lines: int = 2, keep_t
             if len(sent):
                 equal[where.start + sent] = np.frombuffer(heard[parts + p], np.uint8).astype(bool)
         gone = np.zeros(len(begins), bool)
-        for c, k in zip(wide.tolist(), place.tolist(), strict=True):
+        again = (state[place] == 2) | (wide != first[place])
+        for c, k in zip(wide[again].tolist(), place[again].tolist(), strict=True):
             if c == first[k]:
-                gone[c] = state[k] == 2 and equal[k]
+                gone[c] = equal[k]
             elif state[k] != 2 or equal[k]:
-                gone[c] = raw(batch, start, end, begins, ends, c) == raw(batch, start, end, begins, ends, int(first[k]))
-        removed = np.repeat(gone, ends - begins)
+                apart = state[k] == 2 or doc[c] != doc[first[k]] or begins[c] >= ends[first[k]]
+                gone[c] = apart and raw(batch, start, end, begins, ends, c) == raw(batch, start, end, begins, ends, int(first[k]))
+        edges = np.bincount(begins[gone], minlength=len(start) + 1) - np.bincount(ends[gone], minlength=len(start) + 1)
+        removed = np.cumsum(edges)[:-1] > 0
+        if anywhere:
+            begins = _chunks(batch, window)[3]
         chunks = np.diff(np.searchsorted(begins, before))
         n, cut, texts = np.diff(before), [], []
         for d in range(len(batch.ids)):

@@ -36,7 +36,7 @@ def op4_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_chunks(_table(spark, sf_dir, "documents"))
+    return line_dedup.remove_chunks(_table(spark, sf_dir, "documents"), anywhere=True)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
