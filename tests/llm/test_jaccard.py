@@ -75,3 +75,12 @@ def test_empty_and_one_per_group(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, "x")], "doc_id long, text string")
     assert J.groups(df.limit(0)).collect() == []
     assert sorted(r.doc_id for r in J.one_per_group(df).collect()) == [1, 3, 4]
+
+
+def test_one_per_group_keeps_other_texts_of_a_repeated_id(spark):
+    a, b, c = ("a b c d e f g", "other words that stand alone in this corpus", "one more text unlike any of the others here")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, "Z z Y y X x W w"), (3, c), (3, c.upper()), (4, "z Z y Y x X w W"), (5, None), (5, " "), (5, b), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, first_hash string").repartition(3)
+    got = [(r.doc_id, r.text.lower() if r.text else r.text, r.first_hash) for r in J.one_per_group(df).collect()]
+    want = [(1, a), (2, b), (3, c), (3, "z z y y x x w w"), (5, None), (5, " "), (None, a), (None, a)]
+    assert sorted(map(str, got)) == sorted(str((*w, "k")) for w in want)

@@ -237,16 +237,21 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     returned and are documents of their own. A null doc_id takes part in no link and has
     component null. Other columns are not carried.
     """
+    return _grouped(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of groups with text_hash, and first_hash: the text_hash of the component's first row, by component_id and then text_hash."""
     if percent * _BAND < 100:
         raise ValueError("size bands are too narrow for this similarity")
     num, den = percent, 100
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             rows = [(len(s), set_id(s), _bitmap(s)) for _, s in shingle_sets(rb.column(1), words)]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([rb.column(0), *columns], ["doc_id", "n", "id", "bits"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), *columns, rb.column(2)], ["doc_id", "n", "id", "bits", "text_hash"])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -273,8 +278,8 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             held, leader, last = key[-1], lead[-1], ids[-1]
             yield pa.RecordBatch.from_arrays([pa.array(key).filter(other), pa.array(lead).filter(other), pa.array(ids).filter(other)], ["key", "leader", "id"])
 
-    sets = stored(texts.transform(in_arrow, describe, "doc_id long, n long, id long, bits binary"))
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    sets = stored(texts.transform(in_arrow, describe, "doc_id long, n long, id long, bits binary, text_hash long"))
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     classes = stored(classes)
     entries = texts.where("doc_id is not null").transform(in_arrow, tile, "key long, id long").repartition("key").sortWithinPartitions("key", "id")
     tiles = stored(entries.transform(in_arrow, shared, "key long, leader long, id long"))
@@ -295,11 +300,11 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         links = links.union(_verified(texts, classes, more, words, num, den))
         label = _components(nodes, links)
         tried = tried.union(more)
-    label = label.join(classes.select("id", "doc"), "id")
-    label = label.join(label.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("id", "component_id")
-    found = classes.select("id", "doc").join(label, "id", "left").select("id", F.coalesce("component_id", "doc").alias("component_id"))
-    rows = sets.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("id")).alias("id"))
-    return rows.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    label = label.join(classes.select("id", "row"), "id")
+    label = label.join(label.groupBy("component").agg(F.min("row").alias("first")), "component").select("id", "first")
+    found = classes.select("id", "row").join(label, "id", "left").select("id", F.coalesce("first", "row").alias("first"))
+    rows = sets.select("doc_id", "text_hash", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("id")).alias("id"))
+    return rows.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "text_hash", F.col("first.text_hash").alias("first_hash"))
 
 
 def _allowed(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -319,8 +324,16 @@ def _allowed(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
 
 
 def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near duplicates: of each group the rows of its smallest doc_id stay (one of them if repeated), and all rows without words or doc_id."""
-    drop = groups(docs, words, percent).where("component_id < doc_id").select("doc_id").distinct()
-    left = docs.join(drop, "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return left.withColumn("_row", F.row_number().over(order)).where("_row = 1 or doc_id is null").drop("_row")
+    """docs without near duplicates: of each group one row of its smallest doc_id stays, and all rows without words or doc_id.
+
+    Rows that repeat a doc_id are documents of their own: a row goes only if it
+    is in a group with the row that stays. Rows of a doc_id are told apart by a
+    64-bit hash of their text.
+    """
+    own = F.struct("doc_id", "text_hash")
+    drop = _grouped(docs, words, percent).where(F.col("first_hash").isNotNull() & (own != F.struct("component_id", "first_hash"))).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.col("text").cast("string"))})
+    left = rows.join(drop, (F.col("_id") == F.col("_doc")) & (F.col("_text") == F.col("_hash")), "left_anti")
+    order = Window.partitionBy("_id", "_text").orderBy("_text")
+    wordless = ~F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    return left.withColumn("_row", F.row_number().over(order)).where((F.col("_row") == 1) | F.col("doc_id").isNull() | wordless).select(*docs.columns)
