@@ -254,6 +254,15 @@ def rag_context(s, d):
     return retrieval.contexts(retrieval.top_k(queries, e, 3), texts)
 
 
+@_query
+def rag_context_whole(s, d):
+    """Whole texts; rag_context cuts them to 80 characters, as its SQL does."""
+    e = _t(s, d, "embeddings")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieval.contexts(retrieval.top_k(queries, e, 3), _t(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"))
+    return found.select("query_id", F.length("context").cast("long").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
 @_query
 def chunk_documents(s, d):
     return retrieval.chunks(_t(s, d, "documents"), 800, 100).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -128,6 +128,8 @@ SELECT 'Misclassification in ' || event_type AS pattern, count(*) AS count, stri
     "missing_runs": "SELECT c_custkey AS run_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)",
     "topk_neighbors": f"WITH {_TOP} SELECT query_id, rank, vec_id, score FROM top",
     "rag_context": f"WITH {_TOP} SELECT query_id, string_agg('- ' || left(d.text, 80), chr(10) ORDER BY rank) AS context FROM top JOIN documents d ON d.doc_id = top.vec_id GROUP BY query_id",
+    "rag_context_whole": f"""WITH {_TOP}, c AS (SELECT query_id, string_agg('- ' || d.text, chr(10) ORDER BY rank) AS context FROM top JOIN documents d ON d.doc_id = top.vec_id GROUP BY query_id)
+SELECT query_id, length(context) AS n_chars, md5(context) AS context_md5 FROM c""",
     "chunk_documents": """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents),
 c AS (SELECT doc_id, w, unnest(range(greatest(1, CAST(ceil((len(w) - 100) / 700.0) AS BIGINT)))) AS chunk_no FROM d WHERE len(w) > 0)
 SELECT doc_id, chunk_no, md5(array_to_string(w[chunk_no * 700 + 1 : chunk_no * 700 + 800], ' ')) AS text_md5 FROM c""",
