@@ -14,7 +14,7 @@ def both(spark, name):
     return sorted(map(tuple, __spark_entry__.queries()[name](spark, SF).collect())), sorted(con.execute(__spark_entry__.oracle_sql()[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["rag_context_whole"])
+@pytest.mark.parametrize("name", ["rag_context_whole", "error_patterns"])
 def test_query_equals_its_sql(spark, name):
     got, want = both(spark, name)
     assert got and got == want
@@ -23,3 +23,11 @@ def test_query_equals_its_sql(spark, name):
 def test_contexts_are_whole(spark):
     got, _ = both(spark, "rag_context_whole")
     assert max(n for _, n, _ in got) > 3 * 83
+
+
+def test_errors_have_both_halves(spark):
+    got, _ = both(spark, "error_patterns")
+    low = {p.removeprefix("Low accuracy on "): n for p, n, _ in got if p.startswith("Low accuracy on ")}
+    poor = __spark_entry__.queries()["low_accuracy"](spark, SF).groupBy("task").count().collect()
+    assert low and low == {r.task: r["count"] for r in poor}
+    assert len(got) > len(low)

@@ -198,15 +198,24 @@ def best_run(s, d):
     return runs.best(r, [F.col("run_id")]).select("run_id", "avg_accuracy")
 
 
-@_query
-def error_top5(s, d):
+def _errors(s, d, tasks):
     e = _t(s, d, "events")
     answers = e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("task"), F.col("event_id").alias("pos"), F.pmod("event_id", F.lit(4)).alias("target"), F.pmod(F.floor(F.col("event_id") / 4), F.lit(4)).alias("predicted"))
-    tasks = _run_tasks(s, d).select("run_id", "task", F.round("accuracy", 6).alias("accuracy"))
-    out = runs.errors(answers, tasks.where(F.lit(False)))
+    out = runs.errors(answers, tasks.select("run_id", "task", F.round("accuracy", 6).alias("accuracy")))
     return out.select("pattern", "count", F.array_join("examples", "; ").alias("examples"))
 
 
+@_query
+def error_top5(s, d):
+    return _errors(s, d, _run_tasks(s, d).where(F.lit(False)))
+
+
+@_query
+def error_patterns(s, d):
+    """Both halves of errors; error_top5 has misclassifications only, as its SQL does."""
+    return _errors(s, d, _run_tasks(s, d))
+
+
 @_query
 def low_accuracy(s, d):
     return _run_tasks(s, d).where((F.col("accuracy") < 0.5) & F.col("accuracy").isNotNull()).select("run_id", "task")

@@ -120,6 +120,14 @@ SELECT round(avg(2.0::DOUBLE * b / (g + p)), 9) AS macro_f1 FROM n""",
     "error_top5": """WITH w AS (SELECT user_id, event_type, event_id, event_id % 4 AS t, (event_id // 4) % 4 AS p FROM events WHERE event_id % 4 <> (event_id // 4) % 4),
 k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM w) WHERE r <= 5)
 SELECT 'Misclassification in ' || event_type AS pattern, count(*) AS count, string_agg(user_id || ' expected ' || t || ' got ' || p, '; ' ORDER BY n) FILTER (n <= 5) AS examples FROM k GROUP BY event_type""",
+    "error_patterns": f"""WITH {_TASKS},
+a AS (SELECT run_id, task, CAST(round(round(accuracy, 6) * 1000000) AS BIGINT) AS m FROM t),
+low AS (SELECT 'Low accuracy on ' || task AS pattern, run_id, 0 AS pos, run_id || ': ' || (m + 50) // 1000000 || '.' || lpad(CAST((m + 50) // 100 % 10000 AS VARCHAR), 4, '0') AS example FROM a WHERE m < 500000),
+w AS (SELECT user_id, event_type, event_id, event_id % 4 AS t, (event_id // 4) % 4 AS p FROM events WHERE event_id % 4 <> (event_id // 4) % 4),
+mis AS (SELECT 'Misclassification in ' || event_type AS pattern, user_id AS run_id, event_id AS pos, user_id || ' expected ' || t || ' got ' || p AS example
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM w) WHERE r <= 5),
+k AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY run_id, pos) AS n FROM (SELECT * FROM low UNION ALL SELECT * FROM mis))
+SELECT pattern, count(*) AS count, string_agg(example, '; ' ORDER BY n) FILTER (n <= 5) AS examples FROM k GROUP BY pattern""",
     "low_accuracy": f"WITH {_TASKS} SELECT run_id, task FROM t WHERE accuracy < 0.5",
     "metric_matrix": """SELECT 'value' AS metric, event_type AS task, coalesce(round(max(value) FILTER (user_id = 1) * 100, 6), 0) AS run1, coalesce(round(max(value) FILTER (user_id = 2) * 100, 6), 0) AS run2,
   coalesce(round(max(value) FILTER (user_id = 3) * 100, 6), 0) AS run3 FROM events WHERE user_id <= 3 GROUP BY event_type""",
