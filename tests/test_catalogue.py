@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from waymark.operators import runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +15,7 @@ def both(spark, name):
     return sorted(map(tuple, __spark_entry__.queries()[name](spark, SF).collect())), sorted(con.execute(__spark_entry__.oracle_sql()[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["rag_context_whole", "error_patterns"])
+@pytest.mark.parametrize("name", ["rag_context_whole", "error_patterns", "metric_grid"])
 def test_query_equals_its_sql(spark, name):
     got, want = both(spark, name)
     assert got and got == want
@@ -31,3 +32,13 @@ def test_errors_have_both_halves(spark):
     poor = __spark_entry__.queries()["low_accuracy"](spark, SF).groupBy("task").count().collect()
     assert low and low == {r.task: r["count"] for r in poor}
     assert len(got) > len(low)
+
+
+def test_grid_is_the_matrix_of_all_runs(spark):
+    got, _ = both(spark, "metric_grid")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    assert {r for _, _, r, _ in got} == {r.user_id for r in events.select("user_id").distinct().collect()}
+    assert {m for m, *_ in got} == {"value"}
+    rows = spark.createDataFrame([("r1", "acc", "t", 0.5), ("r2", "acc", "u", 0.25), ("r1", "none", "t", 0.0)], "run_id string, metric string, task string, value double")
+    want = [(m, t, r, row[r]) for row in runs.matrix(rows).collect() for m, t in [(row.metric, row.task)] for r in ("r1", "r2")]
+    assert sorted(map(tuple, runs.grid(rows).collect())) == sorted(want) and len(want) == 4

@@ -84,6 +84,14 @@ def matrix(facts: DataFrame, runs: list[str] | None = None, scale: float = 100.0
     return out.fillna(0.0)
 
 
+def grid(facts: DataFrame, scale: float = 100.0) -> DataFrame:
+    """(metric, task, run_id, value): the cells of matrix as rows, for any number of runs."""
+    some = facts.groupBy("metric").agg(F.max("value").alias("m")).where("m > 0").select("metric")
+    rows = facts.join(some, "metric", "left_semi").groupBy("metric", "task", "run_id").agg(F.round(F.max("value") * scale, 6).alias("value"))
+    cells = rows.select("metric", "task").distinct().crossJoin(rows.select("run_id").distinct())
+    return cells.join(rows, ["metric", "task", "run_id"], "left").fillna(0.0, ["value"])
+
+
 def run_label(configs: DataFrame) -> DataFrame:
     """(run_id, label) of configs (run_id, pos, model, notes): the first with a model as "model (notes)", else notes, else unknown."""
     name = F.substring_index("model", "/", -1)

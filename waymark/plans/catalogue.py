@@ -227,6 +227,13 @@ def metric_matrix(s, d):
     return runs.matrix(e, ["run1", "run2", "run3"])
 
 
+@_query
+def metric_grid(s, d):
+    """All runs; metric_matrix has the columns of three, as its SQL does. A second metric is above 0 nowhere."""
+    e = _t(s, d, "events").select(F.col("user_id").alias("run_id"), F.explode(F.create_map(F.lit("value"), F.col("value"), F.lit("loss"), -F.abs("value"))).alias("metric", "value"), F.col("event_type").alias("task"))
+    return runs.grid(e)
+
+
 @_query
 def props_metrics(s, d):
     e = _t(s, d, "events")

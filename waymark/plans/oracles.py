@@ -131,6 +131,10 @@ SELECT pattern, count(*) AS count, string_agg(example, '; ' ORDER BY n) FILTER (
     "low_accuracy": f"WITH {_TASKS} SELECT run_id, task FROM t WHERE accuracy < 0.5",
     "metric_matrix": """SELECT 'value' AS metric, event_type AS task, coalesce(round(max(value) FILTER (user_id = 1) * 100, 6), 0) AS run1, coalesce(round(max(value) FILTER (user_id = 2) * 100, 6), 0) AS run2,
   coalesce(round(max(value) FILTER (user_id = 3) * 100, 6), 0) AS run3 FROM events WHERE user_id <= 3 GROUP BY event_type""",
+    "metric_grid": """WITH f AS (SELECT user_id AS run_id, event_type AS task, unnest(['value', 'loss']) AS metric, unnest([value, -abs(value)]) AS v FROM events),
+r AS (SELECT metric, task, run_id, round(max(v) * 100, 6) AS v FROM f WHERE metric IN (SELECT metric FROM f GROUP BY metric HAVING max(v) > 0) GROUP BY ALL),
+c AS (SELECT * FROM (SELECT DISTINCT metric, task FROM r), (SELECT DISTINCT run_id FROM r))
+SELECT c.metric, c.task, c.run_id, coalesce(r.v, 0) AS value FROM c LEFT JOIN r ON r.metric = c.metric AND r.task = c.task AND r.run_id = c.run_id""",
     "props_metrics": "SELECT event_id AS run_id, 't' AS task, 'acc' AS metric, 'none' AS filter, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value, 0.5::DOUBLE AS stderr FROM events",
     "last_n_runs": "SELECT user_id AS run_id FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 5",
     "missing_runs": "SELECT c_custkey AS run_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)",
