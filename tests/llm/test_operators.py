@@ -241,6 +241,25 @@ def test_surrogates(spark):
     assert got[1].text != surrogates.replace(df, "other").where("doc_id = 1").first().text
 
 
+def test_surrogates_of_one_entity_are_one(spark, monkeypatch):
+    groups = [["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"], ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567"], ["+491701234567", "+49 170 1234567", "+49 170 123 4567"], ["(555) 123-4567", "555.123.4567", "555-123-4567"]]
+    groups += [["4111 1111 1111 1111", "4111111111111111"]]
+    df = spark.createDataFrame([(10 * k + j, f"Use {x} today") for k, g in enumerate(groups) for j, x in enumerate(g) if surrogates.find(f"Use {x} today")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_entities) for r in surrogates.replace(df, "k").collect()}
+    for k, g in enumerate(groups):
+        new = [got[10 * k + j][0] for j in range(len(g)) if 10 * k + j in got]
+        kinds = {surrogates.find(f"Use {x} today")[0][2] for x in g if surrogates.find(f"Use {x} today")}
+        assert len(new) > 1 and len(kinds) == 1 and all(n == 1 for _, n in got.values())
+        assert len({re.sub(r"[ ().-]", "", x) for x in new}) == 1, new
+        shape = [re.sub(r"\d", "0", x) for x in new]
+        assert shape == [re.sub(r"\d", "0", f"Use {x} today") for j, x in enumerate(g) if 10 * k + j in got]
+    assert got[10][0].startswith("Use +1") and got[20][0].startswith("Use +49") and got[0][0].startswith("Use DE")
+    plain = surrogates.surrogate
+    monkeypatch.setattr(surrogates, "surrogate", lambda kind, value, key, turn=0: plain(kind, value, key, turn + len(value)))
+    found = surrogates._scan(b"k" * 32, 0)(" and ".join(groups[0]))[1]
+    assert surrogates.splits(spark.createDataFrame(found, "type string, entity string, surrogate string")).count() == 1
+
+
 def test_permutation_has_no_fixed_point():
     for size in (2, 3, 10, 97):
         image = [surrogates._next(b"k" * 32, "t", x, size) for x in range(size)]

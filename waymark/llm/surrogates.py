@@ -27,6 +27,9 @@ _TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora S
 _CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρσςτφχψ"]
 _CLASS = {c: k for k, x in enumerate(_CLASSES) for c in x}
 
+# Country calling codes of one and of two digits; all others have three.
+_CALLING = re.compile("1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\\d{1,3}")
+
 _UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
 _WORD = f"[{_UPPER}][\\w'’-]+"
 _FINDERS: list[tuple[str, re.Pattern[str]]] = [
@@ -127,8 +130,10 @@ def _luhn(digits: str) -> bool:
 
 def canonical(kind: str, value: str) -> str:
     """What makes two mentions the same entity."""
-    if kind in ("card", "phone", "ssn"):
+    if kind in ("card", "ssn"):
         return re.sub(r"\D", "", value)
+    if kind == "phone":
+        return "+" * value.startswith("+") + re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
     if kind == "ip":
@@ -141,6 +146,11 @@ def _digits_like(value: str, digits: str, skip: int = 0) -> str:
     return "".join(next(it) if c.isdigit() else c for c in value)
 
 
+def _spaced_like(value: str, plain: str) -> str:
+    it = iter(plain)
+    return "".join(c if c == " " else next(it) for c in value)
+
+
 def surrogate(kind: str, value: str, key: bytes, turn: int = 0) -> str:
     """The replacement of one mention, in its own format. Different entities of a type get different ones."""
     tweak = f"{kind}|{turn}"
@@ -155,8 +165,9 @@ def surrogate(kind: str, value: str, key: bytes, turn: int = 0) -> str:
             out = own[0] + _permuted(key, f"{tweak}|{own[0]}", out[1:])
         return _digits_like(value, out)
     if kind in ("phone", "ssn"):
-        country = re.match(r"\+(\d{1,3})(?=[ .(-])", value)
-        n = len(country[1]) if country else 0
+        own, abroad = own.removeprefix("+"), own.startswith("+")
+        n = len(_CALLING.match(own)[0]) if abroad else 0
+        tweak += "|+" * abroad
         return _digits_like(value, own[:n] + _permuted(key, f"{tweak}|{own[:n]}", own[n:]))
     if kind == "ip":
         x = int.from_bytes(bytes(map(int, own.split("."))), "big")
@@ -170,7 +181,7 @@ def surrogate(kind: str, value: str, key: bytes, turn: int = 0) -> str:
     if kind == "secret" and re.fullmatch(r"[0-9a-f]{2,}", value):
         return f"{_next(key, f'{tweak}|hex{len(value)}', int(value, 16), 16 ** len(value)):0{len(value)}x}"
     if kind == "iban":
-        return _cased(value, "".join(re.match(r"(..)(.*)", value)[1].lower() + _permuted(key, tweak, value[2:])))
+        return _spaced_like(value, _cased(own, own[:2].lower() + _permuted(key, tweak, own[2:])))
     return _cased(value, _permuted(key, tweak + "|" + "".join("A" if c.isupper() else "a" for c in value), value))
 
 
@@ -219,22 +230,34 @@ def collisions(found: DataFrame) -> DataFrame:
     return found.groupBy("type", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def splits(found: DataFrame) -> DataFrame:
+    """Entities with several surrogates, whose mentions would come apart."""
+    return found.groupBy("type", "entity").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def replace(docs: DataFrame, key: str, turns: int = 8) -> DataFrame:
     """doc_id, text with every detected entity replaced, n_entities, types (sorted names of the types found).
 
     Types: e-mail, secrets, IP, IBAN, SSN, phone, card and person names. A
     replacement depends on the key and the entity alone, so mentions of one
     entity stay one; it is a permutation within the entity's shape, so
-    different entities stay different. That is checked over all entities of
-    the corpus; should two meet, all are drawn again with the next turn, and
-    after `turns` draws it is an error. Names keep gender and script, cards
+    different entities stay different. An IBAN or phone is exchanged in its plain
+    form and laid back into the mention's format. Both are checked over all
+    entities of the corpus: one with several surrogates is an error; should two
+    entities meet, all are drawn again with the next turn, and after `turns`
+    draws it is an error. A phone with and one without + are two entities. Names keep gender and script, cards
     their check digit, phones the country, e-mails the top domain, all their
     punctuation and case. A null text stays null; rows are independent, so a
     repeated doc_id is no matter. Other columns are not carried.
     """
     secret = hashlib.sha256(key.encode()).digest()
     turn = 0
-    while not collisions(stored(entities(docs, secret, turn))).isEmpty():
+    while True:
+        found = stored(entities(docs, secret, turn))
+        if not splits(found).isEmpty():
+            raise RuntimeError("an entity has several surrogates")
+        if collisions(found).isEmpty():
+            break
         turn += 1
         if turn == turns:
             raise RuntimeError("surrogates collide under every turn of this key")
