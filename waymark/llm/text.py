@@ -19,8 +19,6 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 _U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
 _Q = _U(0xD6E8FEB86659FD93)
 
 
@@ -74,41 +72,65 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_P, _PINV)):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x)
-    return _powers[0], _powers[1]
-
-
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal bytes have equal hashes wherever they stand. starts ascend."""
-    out = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):
-        lo = int(starts[a])
-        if ends[a] - lo > SLICE_BYTES:
-            out[a] = int.from_bytes(hashlib.blake2b(buf[lo : ends[a]].tobytes(), digest_size=8).digest(), "little")
-            a += 1
-            continue
-        b = int(np.searchsorted(starts, lo + SLICE_BYTES, "left"))
-        long = np.flatnonzero(ends[a:b] - lo > 2 * SLICE_BYTES)
-        b = a + int(long[0]) if len(long) else b
-        s, e = starts[a:b] - lo, ends[a:b] - lo
-        n = int(e.max())
-        power, inverse = _power(n + 1)
-        c = np.zeros(n + 1, np.uint64)
-        np.cumsum((buf[lo : lo + n].astype(np.uint64) + _U(1)) * inverse[:n], out=c[1:])
-        out[a:b] = mix((c[e] - c[s]) * power[s] + (e - s).astype(np.uint64) * _Q)
-        a = b
+#: Spans of more bytes are hashed one by one; shorter ones all at once, eight bytes a step.
+_LONG_SPAN = 1024
+_SEEDS = (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344))
+_MASKS = (_U(1) << (_U(8) * np.arange(8, dtype=np.uint64))) - _U(1)
+
+
+def _view(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a buffer on, as one little-endian integer (zeros beyond the end)."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; equal bytes have equal hashes wherever they stand. Two seeds give independent hashes.
+
+    Every eight bytes are mixed into what was there before, so no algebra ties
+    the hashes of related spans together, as it would with a polynomial.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = size.astype(np.uint64) * _Q ^ _SEEDS[seed]
+    if not len(starts):
+        return out
+    view = _view(buf)
+    long = np.flatnonzero(size > _LONG_SPAN)
+    live = np.flatnonzero(size <= _LONG_SPAN) if len(long) else np.arange(len(starts))
+    at, left, h = starts[live], size[live], out[live]
+    while len(live):
+        word = view[np.minimum(at, len(buf))]
+        word = np.where(left >= 8, word, word & _MASKS[np.clip(left, 0, 7)])
+        h = mix(h + word)
+        more = left > 8
+        if not more.all():
+            out[live[~more]] = h[~more]
+            live, at, left, h = live[more], at[more], left[more], h[more]
+        at, left = at + 8, left - 8
+    for k in long.tolist():
+        digest = hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8, salt=bytes([seed]))
+        out[k] = int.from_bytes(digest.digest(), "little")
     return out
 
 
+def equal_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray, other_buf: np.ndarray | None = None) -> np.ndarray:
+    """Whether each span holds the same bytes as the other span of its row."""
+    size = end - start
+    same = size == other_end - other
+    mine = _view(buf)
+    yours = mine if other_buf is None else _view(other_buf)
+    live = np.flatnonzero(same & (size > 0) & ((start != other) | (other_buf is not None)))
+    done = 0
+    while len(live):
+        left = size[live] - done
+        differ = mine[start[live] + done] ^ yours[other[live] + done]
+        differ = np.where(left >= 8, differ, differ & _MASKS[np.clip(left, 0, 7)])
+        same[live[differ != 0]] = False
+        live = live[(differ == 0) & (left > 8)]
+        done += 8
+    return same
+
+
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of every n consecutive values; entry i is that of h[i : i + n]."""
     if len(h) < n:
@@ -143,8 +165,8 @@ class Words:
     doc: np.ndarray
     first: np.ndarray
 
-    def hashes(self) -> np.ndarray:
-        return hash_spans(self.buf, self.start, self.end)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return hash_spans(self.buf, self.start, self.end, seed)
 
     def windows(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Where windows of n words within one row start, and their hashes."""
