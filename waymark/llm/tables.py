@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,22 +16,50 @@ ARROW_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
+
+    Where neither is set, a session on one machine (tests) gets a temporary
+    folder; on a cluster that is an error, since executors don't share one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as a table to the shared folder and read again: its lineage ends there."""
+    """df, written as a table to the shared folder and read again: its lineage ends there, and the shuffle files it took are removed."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/waymark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files stay on the executors' disks until the driver collects its garbage; this round's are of no more use.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_SHUFFLES, None)
+    spark.conf.set(_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_SHUFFLES) if before is None else spark.conf.set(_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+_paths: dict[int, str] = {}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by stored() that nothing will read again."""
+    for df in tables:
+        path = _paths.pop(id(df), None)
+        if path is not None:
+            spark = df.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def set_aside(df: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list[str]]:
