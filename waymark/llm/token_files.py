@@ -11,7 +11,10 @@ lost executors and which reaches any store the cluster has.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,47 +26,170 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.tables import in_arrow, shared_folder, stored
-from waymark.llm.text import SPACES, as_bytes, slices, split
+from waymark.llm.text import SPACES, Words, as_bytes, equal_spans, slices, split
 
 #: Token ids in a block, about; a document is never divided.
 BLOCK_IDS = 1 << 19
-#: Bytes of text whose different words are encoded together, and words in one call of the tokenizer.
+#: Bytes of text whose words are encoded together, and words in one call of the tokenizer.
 SLICE_WORDS_BYTES, WORDS_AT_ONCE = 8 << 20, 5_000
+#: Bytes of encoded words that a worker holds, about; when there are more it begins anew.
+HELD_BYTES = 64 << 20
+#: Token ids in a shard of the files, about.
+SHARD_IDS = 1 << 25
+
+# Patterns of a Split step that match no white space.
+_CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_PATTERNS = {_CONTRACTIONS, r"\w+|[^\w\s]+", r"\S+"}
 
-_tokenizers: dict[str, object] = {}
 _KEY_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
-def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
-    """The ids of each text, as the tokenizer gives them without special tokens.
+def _by_word(tokenizer: dict) -> bool:
+    """Whether a tokenizer's own description says that it drops white space and looks at nothing across it."""
+    steps = lambda x, key: [] if x is None else x[key] if x["type"] == "Sequence" else [x]
+    spaces_only = lambda x: x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " "
+    pre = steps(tokenizer.get("pre_tokenizer"), "pretokenizers")
+    if not pre or not all(x["type"] in ("NFC", "NFD", "Lowercase") or spaces_only(x) for x in steps(tokenizer.get("normalizer"), "normalizers")):
+        return False
+    split = pre[0]["type"] in ("Whitespace", "WhitespaceSplit") or (
+        pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and pre[0]["pattern"].get("Regex") in _WORD_PATTERNS
+    )
+    within = all(x["type"] in ("Digits", "Punctuation") or x["type"] == "ByteLevel" and not x.get("add_prefix_space") for x in pre[1:])
+    plain = all(not (x["lstrip"] or x["rstrip"] or x["single_word"]) and not re.search(r"\s", x["content"]) for x in tokenizer.get("added_tokens") or [])
+    return split and within and plain
+
+
+def _ends(tokenizer: dict) -> np.ndarray | None:
+    """Of each id whether it ends a piece, where the model marks that and pieces are runs of letters, of punctuation, or contractions; else None."""
+    suffix, vocabulary = tokenizer["model"].get("end_of_word_suffix"), tokenizer["model"].get("vocab")
+    pre = tokenizer["pre_tokenizer"]
+    split = pre["pretokenizers"][0] if pre["type"] == "Sequence" else pre
+    if not suffix or tokenizer["model"].get("type") != "BPE" or split.get("pattern") != {"Regex": _CONTRACTIONS}:
+        return None
+    out = np.zeros(1 + max([*vocabulary.values(), *(x["id"] for x in tokenizer.get("added_tokens") or [])]), bool)
+    out[[k for x, k in vocabulary.items() if x.endswith(suffix)]] = True
+    return out
 
-    Different words between ASCII white space are encoded once a slice, all in
-    one call: the tokenizers this is meant for drop white space and never look
-    across it.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _tokenizers:
+
+class _Encoder:
+    """A tokenizer file, and the words it has encoded of late: their hashes in order, bytes and ids."""
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    tokenizer = _tokenizers[path]
-    buf, offsets = as_bytes(texts)
-    for i, j in slices(offsets, SLICE_WORDS_BYTES):
-        w = split(buf[offsets[i] : offsets[j]], offsets[i : j + 1], SPACES)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        self.by_word = _by_word(own)
+        self.added = [x["content"] for x in own.get("added_tokens") or []]
+        self.is_end = _ends(own) if self.by_word else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.raw, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        self.start, self.end, self.first, self.size = (np.zeros(0, np.int64) for _ in range(4))
+
+    def whole(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for text in texts:
+            yield np.array(self.encode_batch([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some words, where each word's begin among them, and how many it has."""
+        pool, first, size = [np.zeros(0, np.uint32)], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        done, slow = 0, list(range(len(words)))
+        if self.is_end is not None:
+            # letters with punctuation at the ends are split just there, and each piece ends with a token of its own kind
+            core = [w.strip(string.punctuation) for w in words]
+            slow = [k for k, (w, c) in enumerate(zip(words, core, strict=True)) if not c.isalpha() or w[0] == "'"]
+            fast = np.delete(np.arange(len(words)), slow)
+            pieces = np.array([1 + (words[k][0] != core[k][0]) + (words[k][-1] != core[k][-1]) for k in fast.tolist()], np.int64)
+            for lo in range(0, len(fast), WORDS_AT_ONCE // 10):
+                part, last = fast[lo : lo + WORDS_AT_ONCE // 10], np.cumsum(pieces[lo : lo + WORDS_AT_ONCE // 10]) - 1
+                text = " ".join([words[k] for k in part.tolist()])
+                ids = np.array(self.encode_batch([text], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.is_end[ids])
+                if len(ends) != last[-1] + 1 or ends[-1] != len(ids) - 1 or any(x in text for x in self.added):
+                    slow += part.tolist()  # the tokenizer sees other pieces in one of the words
+                    continue
+                stop = ends[last] + 1
+                size[part] = np.diff(stop, prepend=0)
+                first[part] = done + stop - size[part]
+                pool.append(ids)
+                done += len(ids)
+        for lo in range(0, len(slow), WORDS_AT_ONCE):
+            part = slow[lo : lo + WORDS_AT_ONCE]
+            e = self.tokenizer.encode_batch([[words[k] for k in part]], is_pretokenized=True, add_special_tokens=False)[0]
+            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+            size[part], first[part] = n, done + np.cumsum(n) - n
+            pool.append(np.array(e.ids, np.uint32))
+            done += len(e.ids)
+        return np.concatenate(pool), first, size
+
+    def words(self, w: Words) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of all words, one after another, and how many each has; None if two different words share a hash."""
         unique, at, place = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        start, end = w.start[at], w.end[at]
+        if not equal_spans(w.buf, w.start, w.end, start[place], end[place]).all():
+            return None
+        if self.key.nbytes * 5 + self.raw.nbytes + self.pool.nbytes > HELD_BYTES:
+            self.clear()
+        held = np.minimum(np.searchsorted(self.key, unique), max(0, len(self.key) - 1))
+        known = self.key[held] == unique if len(self.key) else np.zeros(len(unique), bool)
+        taken = known.copy()  # the hash, if not the word
+        k = np.flatnonzero(known)
+        known[k] = equal_spans(w.buf, start[k], end[k], self.start[held[k]], self.end[held[k]], self.raw)
+        new = np.flatnonzero(~known)
         raw = w.buf.tobytes()
-        words = [raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-        pool, size = [np.zeros(0, np.uint32)], np.zeros(len(unique), np.int64)
-        for lo in range(0, len(words), WORDS_AT_ONCE):
-            e = tokenizer.encode_batch([words[lo : lo + WORDS_AT_ONCE]], is_pretokenized=True, add_special_tokens=False)[0]
-            pool.append(np.array(e.ids, np.uint32))
-            size[lo : lo + WORDS_AT_ONCE] = np.bincount(np.array(e.word_ids, np.int64), minlength=min(WORDS_AT_ONCE, len(words) - lo))
-        pool = np.concatenate(pool)
-        begin = np.cumsum(size) - size
+        own, begin, count = self.encoded([raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+        pool = np.concatenate((self.pool, own))
+        first, size = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
+        first[known], size[known] = self.first[held[known]], self.size[held[known]]
+        first[new], size[new] = len(self.pool) + begin, count
         each = size[place]
         ends = np.cumsum(each)
-        ids = pool[np.repeat(begin[place] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        total = np.concatenate(([0], ends))
+        ids = pool[np.repeat(first[place] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        self._hold(w, unique, start, end, first, size, pool, new[~taken[new]])
+        return ids, each
+
+    def _hold(self, w: Words, key: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, size: np.ndarray, pool: np.ndarray, new: np.ndarray) -> None:
+        width = end[new] - start[new]
+        to = np.cumsum(width) - width
+        text = w.buf[np.repeat(start[new] - to, width) + np.arange(int(width.sum()))]
+        self.start = np.concatenate((self.start, to + len(self.raw)))
+        self.end = np.concatenate((self.end, to + width + len(self.raw)))
+        self.raw, self.pool = np.concatenate((self.raw, text)), pool
+        self.key, self.first, self.size = np.concatenate((self.key, key[new])), np.concatenate((self.first, first[new])), np.concatenate((self.size, size[new]))
+        order = np.argsort(self.key, kind="stable")
+        self.key, self.start, self.end, self.first, self.size = (x[order] for x in (self.key, self.start, self.end, self.first, self.size))
+
+
+_encoders: dict[str, _Encoder] = {}
+
+
+def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
+    """The ids of each text, as the tokenizer gives them without special tokens.
+
+    Where the tokenizer drops white space and never looks across it, different
+    words between ASCII white space are encoded once and kept for later texts:
+    found by hash, and their bytes compared. Any other tokenizer, and a slice
+    in which two words share a hash, is encoded text by text.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    encoder = _encoders[path]
+    buf, offsets = as_bytes(texts)
+    for i, j in slices(offsets, SLICE_WORDS_BYTES):
+        w = split(buf[offsets[i] : offsets[j]], offsets[i : j + 1], SPACES) if encoder.by_word else None
+        found = encoder.words(w) if w is not None else None
+        if found is None:
+            yield from encoder.whole([buf[offsets[d] : offsets[d + 1]].tobytes().decode() for d in range(i, j)])
+            continue
+        ids, each = found
+        total = np.concatenate(([0], np.cumsum(each)))
         for d in range(j - i):
             yield ids[total[w.first[d]] : total[w.first[d + 1]]]
 
@@ -94,8 +220,12 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> str:
     """Encode every text with the tokenizer file, append end_id to each, write the files in ascending doc_id order and return their folder.
 
-    A null text is empty; null doc_ids come last; rows with the same doc_id
-    follow each other in no set order. Ids are below 2**32.
+    doc_id is cast to long (an error where it can't be). A null or empty text
+    is the end id alone; null doc_ids come last; rows with the same doc_id
+    follow each other in the order of a hash of their ids. A text of any length
+    is one row and never divided, so it must fit a worker's memory, and its ids
+    2 GB as bytes. Ids are below 2**32. Other columns, whatever their names,
+    are not read. An empty table gives files without rows.
     """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
@@ -157,8 +287,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None)
         if parts:
             yield flush()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select("doc_id", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r["n"] for r in counts) // SHARD_IDS))
+    # the hash lets rows of one doc_id, as all null ones, lie in several shards
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("ids")]
+    ordered = rows.select("doc_id", "ids").repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered.transform(in_arrow, blocks, "shard long, block long, first long, n long, doc_ids array<long>, sizes array<long>, control binary, data binary").write.parquet(f"{path}/blocks")
     return path
 
