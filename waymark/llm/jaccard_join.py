@@ -7,10 +7,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.tables import in_arrow, stored
+from waymark.llm.tables import forget, in_arrow, put_back, set_aside, stored
 from waymark.llm.text import LOWER, as_bytes, mix, rolling, slices, split
 
 _BITS = 1024
@@ -18,6 +18,8 @@ _BITS = 1024
 _BAND = 1.4
 #: Members of a tile that are compared in one piece.
 _TILE = 4096
+#: Bytes of shingles that are compared in one piece.
+_TILE_BYTES = 8 << 20
 #: Candidates of one leader that are compared in one piece.
 _FANOUT = 2000
 #: Rows of candidates (some bytes each) that are broadcast to the texts; more are joined by a shuffle.
@@ -41,9 +43,10 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]
                 yield i + d, np.zeros(0, np.uint64)
 
 
-def set_id(shingles: np.ndarray) -> int:
+def set_id(shingles: np.ndarray, seed: int = 0) -> int:
     """A 64-bit name of a set."""
-    return int(mix(np.array([mix(shingles).sum(dtype=np.uint64) ^ np.uint64(len(shingles)), 0], np.uint64))[0] ^ np.bitwise_xor.reduce(mix(shingles ^ np.uint64(0xA5A5A5A5)), initial=np.uint64(0))) - (1 << 63)
+    own = mix(shingles + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return int(mix(np.array([own.sum(dtype=np.uint64) ^ np.uint64(len(shingles)), 0], np.uint64))[0] ^ np.bitwise_xor.reduce(mix(own ^ np.uint64(0xA5A5A5A5)), initial=np.uint64(0))) - (1 << 63)
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
@@ -119,6 +122,7 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     label = nodes.select("id", F.col("id").alias("component"))
     edges = links.select("a", "b")
     edges = edges.union(edges.select("b", "a"))
+    held: list[DataFrame] = []  # tables of the round before
     while True:
         # each component hooks to the smallest component beside it, then paths are halved until they are stars
         side = edges.join(label.withColumnRenamed("id", "a").withColumnRenamed("component", "ca"), "a")
@@ -127,18 +131,20 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         if side.isEmpty():
             return label
         parent = side.groupBy("ca").agg(F.min("cb").alias("cb")).where("cb < ca").select(F.col("ca").alias("id"), F.col("cb").alias("parent"))
-        parent = stored(parent)
-        while True:
+        rounds = [longer := stored(parent.withColumn("moved", F.lit(True)))]
+        while not longer.where("moved").isEmpty():
+            parent = longer.select("id", "parent")
             up = parent.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
             longer = stored(parent.join(up, "parent", "left").select("id", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
-            parent = longer.select("id", "parent")
-            if longer.where("moved").isEmpty():
-                break
+            rounds.append(longer)
+        parent = longer.select("id", "parent")
         label = stored(label.join(parent.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("parent", "component").alias("component")))
         edges = side.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        forget(*rounds, *held)
+        held = [side, label]
 
 
-def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, num: int, den: int, seed: int) -> DataFrame:
     """Of the candidate pairs (a, b) those whose sets link: exact intersection of sorted arrays. A leader's candidates are compared in pieces."""
     sized = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("m")), "a")
     pieces = F.ceil(F.col("m") / _FANOUT).cast("int")
@@ -155,7 +161,7 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int
             a, piece, b = (rb.column(k).to_pylist() for k in range(3))
             found: list[tuple[int, int]] = []
             for i, s in shingle_sets(rb.column(3), words):
-                if set_id(s) != b[i]:  # another text under a repeated doc_id
+                if set_id(s, seed) != b[i]:  # another text under a repeated doc_id
                     continue
                 if a[i] == b[i]:
                     unit, own = (a[i], piece[i]), s  # the leader itself comes first
@@ -169,48 +175,120 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int
     return stored(rows.drop("other").transform(in_arrow, compare, "a long, b long").distinct())
 
 
-def _candidates(tiles: DataFrame, every: bool, num: int, den: int) -> DataFrame:
-    """Pairs of different components within tiles whose bitmaps allow a link; with every=False for each document and other component only the likeliest.
+def _arrays(texts: DataFrame, classes: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the classes with the ids: their ascending hashes as bytes."""
+    needed = ids.join(classes.select("id", "row"), "id").select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))
+    rows = texts.join(needed, ["doc_id", "text_hash"]).select("id", "text")
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            own = rb.column(0).to_pylist()
+            found = {own[i]: s.tobytes() for i, s in shingle_sets(rb.column(1), words)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "shingles"])
+
+    return rows.transform(in_arrow, out, "id long, shingles binary").dropDuplicates(["id"])
+
 
-    Large tiles are compared in blocks, each pair of blocks apart.
+def _matching(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """(tile, id) of the members (key, id, component, n, bits) of tiles that some member of another component may link to, by bitmap; tiles with the same such members are one.
+
+    Large tiles are compared in blocks, each pair of blocks apart. A row for
+    each member goes in and one at most comes out, however many may link.
     """
     size = tiles.groupBy("key").agg(F.ceil(F.count("*") / _TILE).cast("int").alias("blocks"))
     rows = tiles.join(size, "key").withColumn("r", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "id", "component", "n", "bits")
+    rows = rows.select("key", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "id", "component", "n", "bits", "blocks")
+
+    def members(key: int, blocks: int, unit: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        ids, comp, n = (np.array([x[k] for x in unit], np.int64) for k in range(3))
+        found = np.zeros(len(unit), bool)
+        for x, ys in _allowed_rows(comp, n, _bits_of([x[3] for x in unit]), num, den):
+            found[x] = True
+            found[ys] = True
+        ids = np.sort(ids[found])
+        name = key if blocks > 1 else int(mix(np.array([mix(ids.view(np.uint64)).sum(dtype=np.uint64)]))[0].view(np.int64))
+        return np.full(len(ids), name), ids
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, _, _), unit in _units(batches, 3):
+            tile, ids = members(key, unit[0][-1], unit)
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(ids)], ["tile", "id"])
+
+    return stored(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, compare, "tile long, id long").distinct())
+
+
+def _linked(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the components of members (tile, id, component, n, bits, shingles) of each tile as all their links would.
+
+    A task holds two blocks of a tile with their sorted shingles. Allowed pairs
+    are decided by exact intersection, and pairs whose components a link of the
+    same task has already joined are skipped, so that the links of a task are
+    fewer than its members.
+    """
+    weight = F.greatest(F.ceil(F.count("*") / _TILE), F.ceil(F.sum("n") * 8 / _TILE_BYTES)).cast("int")
+    rows = members.join(members.groupBy("tile").agg(weight.alias("blocks")), "tile").withColumn("r", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("tile", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "id", "component", "n", "bits", "shingles")
 
-    def pairs(unit: list[tuple]) -> set[tuple[int, int]]:
+    def links(unit: list[tuple]) -> list[tuple[int, int]]:
         ids, comp, n = (np.array([x[k] for x in unit], np.int64) for k in range(3))
-        bits = np.frombuffer(b"".join(x[3] for x in unit), np.uint64).reshape(len(unit), -1)
-        out: set[tuple[int, int]] = set()
-        step = max(1, (1 << 21) // max(1, bits.size))
-        for lo in range(0, len(unit), step):
-            hi = min(len(unit), lo + step)
-            differ = np.bitwise_count(bits[lo:hi, None, :] ^ bits[None]).sum(2, dtype=np.int64)
-            room = _most_different(n[lo:hi, None] + n[None], num, den) - differ
-            ok = (room >= 0) & (comp[lo:hi, None] != comp[None])
-            for x in np.flatnonzero(ok.any(1)):
-                ys = np.flatnonzero(ok[x])
-                if not every:
-                    ys = ys[np.lexsort((ids[ys], -room[x, ys]))]
-                    ys = ys[np.unique(comp[ys], return_index=True)[1]]
-                a = int(ids[lo + x])
-                out.update((min(a, b), max(a, b)) for b in ids[ys].tolist())
+        sets = [np.frombuffer(x[4], np.uint64) for x in unit]
+        parent = np.unique(comp, return_inverse=True)[1]  # of each member its component, by number; joined ones get the smaller
+        out: list[tuple[int, int]] = []
+        for x, ys in _allowed_rows(comp, n, _bits_of([x[3] for x in unit]), num, den):
+            first = True
+            while len(ys := ys[parent[ys] != parent[x]]):
+                now = ys[np.unique(parent[ys], return_index=True)[1]] if first else ys  # one of each component, then all the others
+                sizes = n[now]
+                at = np.searchsorted(sets[x], every := np.concatenate([sets[y] for y in now.tolist()]))
+                hit = sets[x][np.minimum(at, len(sets[x]) - 1)] == every
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+                for y in now[den * both >= num * (n[x] + sizes - both)].tolist():
+                    if parent[y] != parent[x]:
+                        out.append((int(ids[x]), int(ids[y])))
+                        parent[parent == max(parent[x], parent[y])] = min(parent[x], parent[y])
+                if not first:
+                    break
+                ys, first = np.setdiff1d(ys, now), False
         return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, unit = None, []
-        for rb in batches:
-            for row in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-                if row[:3] != key:
-                    if unit:
-                        yield _pair_batch(pairs(unit))
-                    key, unit = row[:3], []
-                unit.append(row[3:])
-        if unit:
-            yield _pair_batch(pairs(unit))
+        for _, unit in _units(batches, 3):
+            yield _pair_batch(links(unit))
+
+    return stored(rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").transform(in_arrow, compare, "a long, b long").distinct())
+
+
+def _units(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows in a row that agree in their first `width` columns: those, and the rest of each row."""
+    key, unit = None, []
+    for rb in batches:
+        for row in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            if row[:width] != key:
+                if unit:
+                    yield key, unit
+                key, unit = row[:width], []
+            unit.append(row[width:])
+    if unit:
+        yield key, unit
+
+
+def _bits_of(maps: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
+
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, compare, "a long, b long").distinct()
+def _allowed_rows(comp: np.ndarray, n: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each member the later ones of other components whose sizes and bitmaps leave room for a link."""
+    step = max(1, (1 << 21) // max(1, bits.size))
+    for lo in range(0, len(comp), step):
+        hi = min(len(comp), lo + step)
+        differ = np.bitwise_count(bits[lo:hi, None, :] ^ bits[None, lo:]).sum(2, dtype=np.int64)
+        ok = (differ <= _most_different(n[lo:hi, None] + n[None, lo:], num, den)) & (comp[lo:hi, None] != comp[None, lo:])
+        ok &= np.arange(lo, hi)[:, None] < np.arange(lo, len(comp))[None]
+        for x in np.flatnonzero(ok.any(1)):
+            yield lo + int(x), lo + np.flatnonzero(ok[x])
 
 
 def _pair_batch(found: set[tuple[int, int]] | list[tuple[int, int]]) -> pa.RecordBatch:
@@ -224,11 +302,11 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Documents with equal sets are one class. Classes meet in tiles: a band of sizes, and a piece of the
     hash space that holds the same shingles in both; two linked sets differ in
     fewer shingles than a band has pieces, so they share a tile. A tile first
-    proposes links to its leader; among the components that
-    leaves, pairs whose 1,024-bit signatures allow enough overlap are proposed:
-    first each document's likeliest partner in every other component of a tile,
-    then all that are left. Every proposal is decided by exact intersection of
-    sorted arrays, so no group misses a link and no pair of copies is listed.
+    proposes links to its leader. In tiles that this leaves in several
+    components, members whose 1,024-bit signatures allow a link to another
+    component are compared within the tile, by exact intersection of sorted
+    arrays, and a link is only given where it joins two components. So no group
+    misses a link, and no step lists more rows than its tiles have members.
 
     Returns one row per row of docs: doc_id, n_shingles (set size), component_id
     (smallest doc_id reachable; its own doc_id without links). Words are
@@ -249,7 +327,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            rows = [(len(s), set_id(s), _bitmap(s)) for _, s in shingle_sets(rb.column(1), words)]
+            rows = [(len(s), set_id(s, seed), _bitmap(s)) for _, s in shingle_sets(rb.column(1), words)]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([rb.column(0), *columns, rb.column(2)], ["doc_id", "n", "id", "bits", "text_hash"])
 
@@ -257,7 +335,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for rb in batches:
             found: dict[int, np.ndarray] = {}  # copies send their keys once
             for _, s in shingle_sets(rb.column(1), words):
-                if len(s) and (len(s) + 1) * (den - num) >= den and (name := set_id(s)) not in found:
+                if len(s) and (len(s) + 1) * (den - num) >= den and (name := set_id(s, seed)) not in found:
                     found[name] = tile_keys(s, num, den)
             if found:
                 owner = np.repeat(np.array(list(found), np.int64), [len(k) for k in found.values()])
@@ -278,28 +356,31 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
             held, leader, last = key[-1], lead[-1], ids[-1]
             yield pa.RecordBatch.from_arrays([pa.array(key).filter(other), pa.array(lead).filter(other), pa.array(ids).filter(other)], ["key", "leader", "id"])
 
-    sets = stored(texts.transform(in_arrow, describe, "doc_id long, n long, id long, bits binary, text_hash long"))
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.max("n").alias("n"), F.max("bits").alias("bits"))
-    classes = stored(classes)
+    for seed in range(8):  # noqa: B007 - describe and tile name sets with it
+        sets = stored(texts.transform(in_arrow, describe, "doc_id long, n long, id long, bits binary, text_hash long"))
+        rows = F.min(F.struct("doc_id", "text_hash")).alias("row")
+        classes = sets.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), rows, F.max("n").alias("n"), F.max("bits").alias("bits"), ((F.min("bits") != F.max("bits")) | (F.min("n") != F.max("n"))).alias("mixed"))
+        classes = stored(classes)
+        if classes.where("mixed").isEmpty():
+            break
+    else:
+        raise RuntimeError("different sets share a name under every seed")
     entries = texts.where("doc_id is not null").transform(in_arrow, tile, "key long, id long").repartition("key").sortWithinPartitions("key", "id")
     tiles = stored(entries.transform(in_arrow, shared, "key long, leader long, id long"))
     star = _allowed(tiles.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), classes, num, den)
-    links = _verified(texts, classes, star, words, num, den)
+    links = _verified(texts, classes, star, words, num, den, seed)
     nodes = links.select(F.col("a").alias("id")).union(links.select("b")).union(tiles.select("id")).union(tiles.select("leader")).distinct()
     nodes = stored(nodes)
     label = _components(nodes, links)
     members = tiles.select("key", "id").union(tiles.select("key", "leader").distinct())
-    tried = star
-    for every in (False, True):
-        labelled = members.join(label, "id")
-        split_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        open_tiles = labelled.join(split_keys, "key", "left_semi").join(classes.select("id", "n", "bits"), "id")
-        more = stored(_candidates(open_tiles, every, num, den).join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        links = links.union(_verified(texts, classes, more, words, num, den))
-        label = _components(nodes, links)
-        tried = tried.union(more)
+    labelled = members.join(label, "id")
+    split_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    open_tiles = labelled.join(split_keys, "key", "left_semi").join(classes.select("id", "n", "bits"), "id")
+    near = _matching(open_tiles, num, den)
+    if not near.isEmpty():
+        held = stored(_arrays(texts, classes, near.select("id").distinct(), words))
+        held = near.join(label, "id").join(classes.select("id", "n", "bits"), "id").join(held, "id")
+        label = _components(nodes, links.union(_linked(held, num, den)))
     label = label.join(classes.select("id", "row"), "id")
     label = label.join(label.groupBy("component").agg(F.min("row").alias("first")), "component").select("id", "first")
     found = classes.select("id", "row").join(label, "id", "left").select("id", F.coalesce("first", "row").alias("first"))
@@ -330,10 +411,11 @@ def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     is in a group with the row that stays. Rows of a doc_id are told apart by a
     64-bit hash of their text.
     """
+    plain, names = set_aside(docs)
     own = F.struct("doc_id", "text_hash")
-    drop = _grouped(docs, words, percent).where(F.col("first_hash").isNotNull() & (own != F.struct("component_id", "first_hash"))).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.col("text").cast("string"))})
+    drop = _grouped(plain, words, percent).where(F.col("first_hash").isNotNull() & (own != F.struct("component_id", "first_hash"))).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    rows = plain.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.col("text").cast("string"))})
     left = rows.join(drop, (F.col("_id") == F.col("_doc")) & (F.col("_text") == F.col("_hash")), "left_anti")
-    order = Window.partitionBy("_id", "_text").orderBy("_text")
-    wordless = ~F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    return left.withColumn("_row", F.row_number().over(order)).where((F.col("_row") == 1) | F.col("doc_id").isNull() | wordless).select(*docs.columns)
+    alone = F.col("_id").isNull() | ~F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    left = left.where(alone).union(left.where(~alone).dropDuplicates(["_id", "_text"]))
+    return put_back(left.select("doc_id", "text", *names), docs)
