@@ -162,7 +162,7 @@ class _Encoder:
         self.end = np.concatenate((self.end, to + width + len(self.raw)))
         self.raw, self.pool = np.concatenate((self.raw, text)), pool
         self.key, self.first, self.size = np.concatenate((self.key, key[new])), np.concatenate((self.first, first[new])), np.concatenate((self.size, size[new]))
-        order = np.argsort(self.key, kind="stable")
+        order = np.argsort(self.key, kind="stable")  # two runs in order: merged
         self.key, self.start, self.end, self.first, self.size = (x[order] for x in (self.key, self.start, self.end, self.first, self.size))
 
 
@@ -246,12 +246,13 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
+        unpack = _Unpacker()
         for rb in batches:
-            for x in rb.column(0).to_pylist():
-                c = np.bincount(_ids(x))
-                if len(c) > len(total):
-                    total = np.append(total, np.zeros(len(c) - len(total), np.int64))
-                total[: len(c)] += c
+            every = [unpack(x) for x in rb.column(0).to_pylist()]
+            c = np.bincount(np.concatenate(every)) if every else total[:0]
+            if len(c) > len(total):
+                total = np.append(total, np.zeros(len(c) - len(total), np.int64))
+            total[: len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
@@ -267,6 +268,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None)
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        unpack = _Unpacker()
         shard, number, doc_ids, parts, held, done = TaskContext.get().partitionId(), 0, [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -277,7 +279,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None)
 
         for rb in batches:
             for d, x in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-                ids = _ids(x)
+                ids = unpack(x)
                 if parts and held + len(ids) > BLOCK_IDS:
                     yield flush()
                     doc_ids, parts, held, number, done = [], [], 0, number + 1, done + held
@@ -295,9 +297,15 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None)
     return path
 
 
-def _ids(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+class _Unpacker:
+    """The ids of a packed row."""
+
+    def __init__(self) -> None:
+        self.zstd = zstandard.ZstdDecompressor()
+
+    def __call__(self, packed: bytes) -> np.ndarray:
+        raw = np.frombuffer(self.zstd.decompress(packed), np.uint8)
+        return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
 def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
