@@ -84,3 +84,38 @@ def test_one_per_group_keeps_other_texts_of_a_repeated_id(spark):
     got = [(r.doc_id, r.text.lower() if r.text else r.text, r.first_hash) for r in J.one_per_group(df).collect()]
     want = [(1, a), (2, b), (3, c), (3, "z z y y x x w w"), (5, None), (5, " "), (None, a), (None, a)]
     assert sorted(map(str, got)) == sorted(str((*w, "k")) for w in want)
+
+
+@pytest.mark.parametrize(("members", "size"), [(4096, 8 << 20), (6, 8 << 20), (4096, 4000)])
+def test_alike_but_unlinked(spark, monkeypatch, members, size):
+    # texts around the limit: bitmaps allow most pairs, few link, and links join groups of several sizes
+    monkeypatch.setattr(J, "_TILE", members)
+    monkeypatch.setattr(J, "_TILE_BYTES", size)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(160)]
+    rows = []
+    for i in range(70):
+        t = list(base)
+        for _ in range(rng.choice([1, 3, 4, 5, 6])):
+            t[rng.randrange(len(t))] = f"own{i if i % 3 else 0}"
+        rows.append((i, " ".join(t)))
+    rows += [(100 + i, " ".join(f"z{i}_{k}" for k in range(60))) for i in range(5)] + [(200, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, J.groups(df, 5, 80).collect()))
+    assert got == sorted(brute(rows, 5, 80)) and len({c for *_, c in got}) > 8
+
+
+def test_components_of_a_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 200]], "id long")
+    got = {r.id: r.component for r in J._components(nodes, links).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200}
+
+
+def test_one_per_group_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "x", 5, "y"), (2, "a b c d e f", "x", 6, "y"), (None, "a b c d e f", "x", 7, "y"), (3, None, "x", 8, None), (3, None, "x", 9, None), (4, "q", None, 1, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string, _id int, _hash string")
+    out = J.one_per_group(df)
+    assert out.columns == df.columns
+    assert sorted(r._id for r in out.collect()) == [1, 5, 7, 8, 9]
+    assert J.one_per_group(df.limit(0)).count() == 0

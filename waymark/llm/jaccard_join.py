@@ -190,33 +190,54 @@ def _arrays(texts: DataFrame, classes: DataFrame, ids: DataFrame, words: int) ->
 
 
 def _matching(tiles: DataFrame, num: int, den: int) -> DataFrame:
-    """(tile, id) of the members (key, id, component, n, bits) of tiles that some member of another component may link to, by bitmap; tiles with the same such members are one.
+    """(key, id, root) of the members (key, id, component, n, bits) of tiles that some member of another component may link to, by bitmap.
 
+    root is the least member that the tile's allowed pairs connect id with.
     Large tiles are compared in blocks, each pair of blocks apart. A row for
     each member goes in and one at most comes out, however many may link.
     """
     size = tiles.groupBy("key").agg(F.ceil(F.count("*") / _TILE).cast("int").alias("blocks"))
     rows = tiles.join(size, "key").withColumn("r", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "id", "component", "n", "bits", "blocks")
+    rows = rows.select("key", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "id", "component", "n", "bits")
 
-    def members(key: int, blocks: int, unit: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def members(unit: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        unit.sort(key=lambda x: x[0])
         ids, comp, n = (np.array([x[k] for x in unit], np.int64) for k in range(3))
+        root = np.arange(len(unit))
         found = np.zeros(len(unit), bool)
         for x, ys in _allowed_rows(comp, n, _bits_of([x[3] for x in unit]), num, den):
-            found[x] = True
-            found[ys] = True
-        ids = np.sort(ids[found])
-        name = key if blocks > 1 else int(mix(np.array([mix(ids.view(np.uint64)).sum(dtype=np.uint64)]))[0].view(np.int64))
-        return np.full(len(ids), name), ids
+            found[x] = found[ys] = True
+            own = np.unique(np.append(root[ys], root[x]))
+            if len(own) > 1:
+                root[np.isin(root, own)] = own[0]
+        return ids[found], ids[root[found]]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, _, _), unit in _units(batches, 3):
-            tile, ids = members(key, unit[0][-1], unit)
+            ids, root = members(unit)
             if len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(ids)], ["tile", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(ids), pa.array(root)], ["key", "id", "root"])
 
-    return stored(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, compare, "tile long, id long").distinct())
+    return stored(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, compare, "key long, id long, root long").distinct())
+
+
+def _pieces_of(near: DataFrame, classes: DataFrame) -> DataFrame:
+    """(tile, id): what _linked compares together.
+
+    Members that allowed pairs connect over all tiles make a cluster. One that
+    a task can hold is compared as a whole, so that a set goes to one place
+    instead of to all its tiles; a larger one is left in its tiles.
+    """
+    ids = stored(near.select("id").distinct())
+    cluster = _components(ids, near.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct())
+    weight = cluster.join(classes.select("id", "n"), "id").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    large = weight.where((F.col("m") > _TILE) | (F.col("n") * 8 > _TILE_BYTES)).select("component")
+    cluster = cluster.withColumnRenamed("component", "tile")
+    large = large.withColumnRenamed("component", "tile")
+    own = cluster.join(large, "tile", "left_anti").select("tile", "id")
+    apart = near.select(F.col("key").alias("tile"), "id").distinct().join(cluster.join(large, "tile", "left_semi").select("id"), "id", "left_semi").select("tile", "id")
+    return stored(own.union(apart))
 
 
 def _linked(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -378,8 +399,9 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     open_tiles = labelled.join(split_keys, "key", "left_semi").join(classes.select("id", "n", "bits"), "id")
     near = _matching(open_tiles, num, den)
     if not near.isEmpty():
-        held = stored(_arrays(texts, classes, near.select("id").distinct(), words))
-        held = near.join(label, "id").join(classes.select("id", "n", "bits"), "id").join(held, "id")
+        pieces = _pieces_of(near, classes)
+        held = _arrays(texts, classes, pieces.select("id").distinct(), words)
+        held = pieces.join(label, "id").join(classes.select("id", "n", "bits"), "id").join(held, "id")
         label = _components(nodes, links.union(_linked(held, num, den)))
     label = label.join(classes.select("id", "row"), "id")
     label = label.join(label.groupBy("component").agg(F.min("row").alias("first")), "component").select("id", "first")
