@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from waymark.llm.tables import forget, in_arrow, put_back, set_aside, stored
 from waymark.llm.text import LOWER, as_bytes, mix, rolling, slices, split
 
+#: Bits of a signature at least; it has as many as its set shingles, in powers of two, so that it tells long texts apart too.
 _BITS = 1024
 #: Width of a size band: largest size over smallest.
 _BAND = 1.4
@@ -51,10 +52,23 @@ def set_id(shingles: np.ndarray, seed: int = 0) -> int:
 
 def _bitmap(shingles: np.ndarray) -> bytes:
     """Each shingle flips one bit: two sets differ in at least as many shingles as their bitmaps do in bits."""
-    bits = (np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (_BITS - 1), minlength=_BITS) & 1).astype(np.uint8)
+    size = max(_BITS, 1 << max(0, len(shingles) - 1).bit_length())
+    bits = (np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1).astype(np.uint8)
     return np.packbits(bits).tobytes()
 
 
+def _bits_of(maps: list[bytes], least: int | None = None) -> np.ndarray:
+    """The bitmaps as rows of integers; longer ones are folded to the length of the shortest, which leaves parities."""
+    sizes = np.array([len(x) for x in maps])
+    least = min(least or int(sizes.min()), int(sizes.min()))
+    out = np.empty((len(maps), least // 8), np.uint64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        rows = np.frombuffer(b"".join([maps[k] for k in at.tolist()]), np.uint64).reshape(len(at), size // least, -1)
+        out[at] = np.bitwise_xor.reduce(rows, axis=1)
+    return out
+
+
 def _most_different(total: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
     """The most shingles in which two linked sets may differ, given the sum of their sizes."""
     return total * (den - num) // (den + num)
@@ -296,10 +310,6 @@ def _units(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tupl
         yield key, unit
 
 
-def _bits_of(maps: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
-
-
 def _allowed_rows(comp: np.ndarray, n: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
     """Of each member the later ones of other components whose sizes and bitmaps leave room for a link."""
     step = max(1, (1 << 21) // max(1, bits.size))
@@ -324,7 +334,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     hash space that holds the same shingles in both; two linked sets differ in
     fewer shingles than a band has pieces, so they share a tile. A tile first
     proposes links to its leader. In tiles that this leaves in several
-    components, members whose 1,024-bit signatures allow a link to another
+    components, members whose bitmap signatures allow a link to another
     component are compared within the tile, by exact intersection of sorted
     arrays, and a link is only given where it joins two components. So no group
     misses a link, and no step lists more rows than its tiles have members.
@@ -417,9 +427,15 @@ def _allowed(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            x, y = (np.frombuffer(b"".join(rb.column(k).to_pylist()), np.uint64).reshape(rb.num_rows, -1) for k in (3, 5))
+            x, y = rb.column(3).to_pylist(), rb.column(5).to_pylist()
+            least = np.array([min(len(a), len(b)) for a, b in zip(x, y, strict=True)])
+            differ = np.zeros(len(x), np.int64)
+            for size in np.unique(least).tolist():
+                at = np.flatnonzero(least == size)
+                a, b = (_bits_of([z[k] for k in at.tolist()], size) for z in (x, y))
+                differ[at] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
             total = rb.column(2).to_numpy() + rb.column(4).to_numpy()
-            ok = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= _most_different(total, num, den))
+            ok = pa.array(differ <= _most_different(total, num, den))
             yield pa.RecordBatch.from_arrays([rb.column(k).filter(ok) for k in range(2)], ["a", "b"])
 
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ba", "nb", "bb")
