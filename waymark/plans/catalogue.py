@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.parsing import AXES, first_object, passage, relations
-from waymark.operators import chat, graph, retrieval, runs, scoring, solver, worlds
-from waymark.plans import oracles
+from waymark.operators import chat, generator, graph, retrieval, runs, scoring, solver, worlds
+from waymark.plans import generation_sql, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -304,13 +304,77 @@ def two_stage_generate(s, d):
     return chat.generate(b, stub).select("item_id", "response", scoring.last_match(F.col("response")).alias("answer"))
 
 
+def _named(s, d):
+    """The relations of the maps with names for their entities."""
+    named = lambda c: F.concat(F.lit("Part "), F.col(c).cast("string")).alias(c)
+    return _relations(s, d).select("map_id", "seq", named("a"), "dir", named("b"))
+
+
+def _named_closed(s, d):
+    return graph.closure(graph.axis_edges(_named(s, d)))
+
+
+@_query
+def ambiguous_pairs(s, d):
+    return generator.ambiguous_pairs(_named(s, d), _named_closed(s, d))
+
+
+@_query
+def direction_questions(s, d):
+    return generator.direction_questions(ambiguous_pairs(s, d))
+
+
+@_query
+def count_questions(s, d):
+    return generator.count_questions(_named(s, d), _named_closed(s, d))
+
+
+@_query
+def which_questions(s, d):
+    return generator.which_questions(_named(s, d), _named_closed(s, d))
+
+
+def _questions(s, d):
+    return direction_questions(s, d).union(count_questions(s, d)).union(which_questions(s, d))
+
+
+@_query
+def stratified_plan(s, d):
+    stratum = F.when(F.col("kind") == "count", F.col("kind")).otherwise(F.concat_ws("-", "kind", F.col("answers").cast("string")))
+    return worlds.stratified(_questions(s, d).select("map_id", stratum.alias("stratum")), "stratum", generation_sql.PLAN, "map_id").select("stratum", "map_id")
+
+
+@_query
+def narratives(s, d):
+    return generator.narratives(_named(s, d)).select("map_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@_query
+def sft_samples(s, d):
+    content = lambda k: F.md5(F.get("messages", F.lit(k))["content"].cast("binary"))
+    return generator.samples(_named(s, d), _questions(s, d), "Answer by letters.").select("map_id", "kind", "answers", content(1).alias("user_md5"), content(2).alias("assistant_md5"))
+
+
 @_query
 def sampled_worlds(s, d):
-    """Rows only: names and places are drawn by a hash that DuckDB lacks."""
-    w = worlds.sampled_worlds(s, 200)
-    found = worlds.sampled_relations(w)
-    n = found.groupBy("map_id").agg(F.count("*").alias("n_sentences"))
-    return w.groupBy("map_id").agg(F.count("*").alias("n_entities")).join(n, "map_id")
+    return worlds.sampled_worlds(s, 200)
+
+
+@_query
+def sampled_relations(s, d):
+    return worlds.sampled_relations(worlds.sampled_worlds(s, 200))
+
+
+@_query
+def walk_scenarios(s, d):
+    """Each ten events of a user are a walk."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    e = _t(s, d, "events").select("user_id", "event_id", F.pmod("event_id", F.lit(8)).cast("int").alias("m"), n.cast("long").alias("n"))
+    dx, dy = (F.get(F.array(*[F.lit(10 * v[k]).cast("long") for v in worlds.MOVES.values()]), F.col("m")) for k in (0, 1))
+    walk = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("n") / 10).cast("string"))
+    moves = e.select(walk.alias("walk_id"), (F.col("n") % 10 + 1).alias("step"), F.concat(F.lit("Place "), F.col("event_id").cast("string")).alias("place"), dx.alias("dx"), dy.alias("dy"))
+    out = generator.scenarios(moves)
+    return out.select("walk_id", F.md5(F.col("user").cast("binary")).alias("user_md5"), F.md5(F.col("reasoning").cast("binary")).alias("reasoning_md5"), "answer", F.size("coordinates").cast("long").alias("n_places"))
 
 
 def queries() -> dict[str, Query]:
@@ -318,7 +382,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.SQL.items() if k in _QUERIES}
+    return {k: v for k, v in (oracles.SQL | generation_sql.SQL).items() if k in _QUERIES}
 
 
 assert set(oracles.DIRECTIONS) == set(AXES)

@@ -5,14 +5,14 @@ from __future__ import annotations
 # For each direction its sides east-west and north-south.
 DIRECTIONS = {"Northeast": ("east", "north"), "Northwest": ("west", "north"), "Southeast": ("east", "south"), "Southwest": ("west", "south"), "North": ("", "north"), "South": ("", "south"), "East": ("east", ""), "West": ("west", "")}
 
-_WORLD = """
+WORLD = """
 w AS (SELECT l_orderkey AS map_id, l_partkey AS entity, max(l_extendedprice) AS x, max(l_quantity) AS y FROM lineitem GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY entity) AS rk FROM w),
 r AS (SELECT a.map_id, row_number() OVER (PARTITION BY a.map_id ORDER BY a.rk, b.rk) AS seq, a.entity AS a,
     (CASE WHEN a.y > b.y THEN 'north' ELSE 'south' END) || (CASE WHEN a.x > b.x THEN 'east' ELSE 'west' END) AS dir, b.entity AS b
   FROM k a JOIN k b ON a.map_id = b.map_id AND a.rk - b.rk IN (1, 2) AND a.x <> b.x AND a.y <> b.y)"""
 _EDGES = (
-    _WORLD
+    WORLD
     + """,
 e AS (SELECT map_id, 'x' AS axis, CASE WHEN dir LIKE '%east' THEN a ELSE b END AS src, CASE WHEN dir LIKE '%east' THEN b ELSE a END AS dst FROM r
   UNION SELECT map_id, 'y', CASE WHEN dir LIKE 'north%' THEN a ELSE b END, CASE WHEN dir LIKE 'north%' THEN b ELSE a END FROM r)"""
@@ -72,9 +72,9 @@ def _set(c: str) -> str:
 
 
 SQL = {
-    "map_relations": f"WITH {_WORLD} SELECT * FROM r",
-    "passage_text": f"WITH {_WORLD} {_PASSAGE}",
-    "parse_relations": f"WITH {_WORLD} SELECT map_id, seq, first_value('Part ' || b) OVER (PARTITION BY map_id ORDER BY seq) AS first, 'Part ' || a AS a, dir, 'Part ' || b AS b FROM r",
+    "map_relations": f"WITH {WORLD} SELECT * FROM r",
+    "passage_text": f"WITH {WORLD} {_PASSAGE}",
+    "parse_relations": f"WITH {WORLD} SELECT map_id, seq, first_value('Part ' || b) OVER (PARTITION BY map_id ORDER BY seq) AS first, 'Part ' || a AS a, dir, 'Part ' || b AS b FROM r",
     "axis_edges": f"WITH {_EDGES} SELECT * FROM e",
     "axis_closure": f"WITH RECURSIVE {_CLOSED} SELECT * FROM c",
     "closure_reduction": f"WITH RECURSIVE {_CLOSED} SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c a JOIN c b ON a.map_id = b.map_id AND a.axis = b.axis AND a.dst = b.src WHERE a.map_id = c.map_id AND a.axis = c.axis AND a.src = c.src AND b.dst = c.dst)",
