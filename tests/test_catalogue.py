@@ -10,24 +10,24 @@ SF = "/root/testdata/sf0.001"
 def both(spark, name):
     """The rows of a query and of its SQL, sorted."""
     con = duckdb.connect()
-    for t in ("events", "documents", "embeddings"):
+    for t in ("events", "documents", "embeddings", "lineitem", "part"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return sorted(map(tuple, __spark_entry__.queries()[name](spark, SF).collect())), sorted(con.execute(__spark_entry__.oracle_sql()[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["rag_context_whole", "error_patterns", "metric_grid"])
+@pytest.mark.parametrize("name", ["rag_context", "error_top5", "metric_grid", "metric_matrix", "walk_scenarios", "which_questions", "question_parts", "report_lines", "task_results"])
 def test_query_equals_its_sql(spark, name):
     got, want = both(spark, name)
     assert got and got == want
 
 
 def test_contexts_are_whole(spark):
-    got, _ = both(spark, "rag_context_whole")
+    got, _ = both(spark, "rag_context")
     assert max(n for _, n, _ in got) > 3 * 83
 
 
 def test_errors_have_both_halves(spark):
-    got, _ = both(spark, "error_patterns")
+    got, _ = both(spark, "error_top5")
     low = {p.removeprefix("Low accuracy on "): n for p, n, _ in got if p.startswith("Low accuracy on ")}
     poor = __spark_entry__.queries()["low_accuracy"](spark, SF).groupBy("task").count().collect()
     assert low and low == {r.task: r["count"] for r in poor}

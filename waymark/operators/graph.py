@@ -71,14 +71,19 @@ def reduction(closed: DataFrame) -> DataFrame:
 
 
 def axis_relations(pairs: DataFrame, closed: DataFrame) -> DataFrame:
-    """pairs (map_id, a, b) with x_rel and y_rel: gt, lt or unknown; a cycle counts as gt."""
-    for axis in ("x", "y"):
-        one = closed.where(F.col("axis") == axis)
-        up = one.select("map_id", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("_gt"))
-        down = one.select("map_id", F.col("src").alias("b"), F.col("dst").alias("a"), F.lit(True).alias("_lt"))
-        pairs = pairs.join(up, ["map_id", "a", "b"], "left").join(down, ["map_id", "a", "b"], "left")
-        pairs = pairs.withColumn(f"{axis}_rel", F.when(F.col("_gt"), "gt").when(F.col("_lt"), "lt").otherwise("unknown")).drop("_gt", "_lt")
-    return pairs
+    """pairs (map_id, a, b) with x_rel and y_rel: gt, lt or unknown; a cycle counts as gt. The closure is grouped by unordered pair once and joined once."""
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    up = lambda axis, way: F.max((F.col("axis") == axis) & (F.col("src") == (low if way else high)))
+    known = closed.groupBy("map_id", low.alias("_low"), high.alias("_high")).agg(*[up(axis, way).alias(f"_{axis}{int(way)}") for axis in "xy" for way in (True, False)])
+    rows = pairs.withColumns({"_low": F.least("a", "b"), "_high": F.greatest("a", "b")}).join(known, ["map_id", "_low", "_high"], "left")
+    forth = F.col("a") == F.col("_low")
+
+    def rel(axis: str) -> Column:
+        gt = F.when(forth, F.col(f"_{axis}1")).otherwise(F.col(f"_{axis}0"))
+        lt = F.when(forth, F.col(f"_{axis}0")).otherwise(F.col(f"_{axis}1"))
+        return F.when(gt, "gt").when(lt, "lt").otherwise("unknown")
+
+    return rows.withColumns({"x_rel": rel("x"), "y_rel": rel("y")}).select(*pairs.columns, "x_rel", "y_rel")
 
 
 def in_directions(closed: DataFrame) -> DataFrame:
@@ -98,6 +103,27 @@ def in_directions(closed: DataFrame) -> DataFrame:
     return held.select("map_id", "ref", "obj", F.explode(F.transform(found, lambda d: d["dir"])).alias("dir"))
 
 
+def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(map_id, axis, root, node): what each root (map_id, axis, root) reaches, by a frontier that only new nodes join."""
+    keys = ["map_id", "axis"]
+    step = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
+    found = frontier = stored(roots.join(step.withColumnRenamed("node", "root"), [*keys, "root"]).select(*keys, "root", F.col("to").alias("node")).distinct())
+    while not frontier.isEmpty():
+        more = frontier.join(step, [*keys, "node"]).select(*keys, "root", F.col("to").alias("node")).distinct()
+        frontier = stored(more.join(found, [*keys, "root", "node"], "left_anti"))
+        found = found.union(frontier)
+    return found
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(map_id, axis, node, in_degree, is_source): how many distinct edges lead to each node; a source has none."""
+    keys = ["map_id", "axis"]
+    count = edges.select(*keys, "src", "dst").distinct().groupBy(*keys, F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+    every = nodes.select("map_id", "node", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("axis"))
+    rows = every.join(count, [*keys, "node"], "left")
+    return rows.select(*keys, "node", F.coalesce("n", F.lit(0)).cast("long").alias("in_degree"), F.col("n").isNull().alias("is_source"))
+
+
 def groups(nodes: DataFrame, closed: DataFrame) -> DataFrame:
     """(map_id, axis, members, level): nodes with equal predecessors and successors, and how many lie below them."""
     keys = ["map_id", "axis"]

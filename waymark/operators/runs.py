@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators import scoring
+
 _SKIP = ("name", "alias", "sample_len")
 _KNOWN = ("acc", "accuracy", "f1", "exact_match", "em", "mcc")
 
@@ -38,7 +40,8 @@ def custom_metrics(m: Column) -> Column:
 
 def lookup(m: Column, *names: str) -> Column:
     """The first of the names that is a key, exactly or before a comma."""
-    return F.coalesce(*[c for n in names for c in (F.try_element_at(m, F.lit(n)), F.get(F.map_values(F.map_filter(m, lambda k, _, n=n: k.startswith(n + ","))), F.lit(0)))])
+    prefixed = lambda name: F.get(F.map_values(F.map_filter(m, lambda k, _: k.startswith(name + ","))), F.lit(0))
+    return F.coalesce(*[c for n in names for c in (F.try_element_at(m, F.lit(n)), prefixed(n))])
 
 
 def task_label(task: Column) -> Column:
@@ -60,38 +63,106 @@ def last_runs(runs: DataFrame, n: int = 2) -> DataFrame:
     return runs.orderBy(F.col("timestamp").desc(), "run_id").limit(n)
 
 
+def percent(share: Column) -> Column:
+    """A share as a percentage with two decimals."""
+    h = F.round(share * 10000).cast("long")
+    return F.format_string("%d.%02d%%", F.floor(h / 100), F.pmod(h, F.lit(100)))
+
+
+def predicted_index(scores: Column) -> Column:
+    """The choice that scores an array of per-choice scores, the first of equals; null without any."""
+    return F.when(F.size(scores) > 0, scoring.best_index(scores))
+
+
 def errors(responses: DataFrame, tasks: DataFrame, low: float = 0.5, n: int = 5) -> DataFrame:
     """(pattern, count, examples) from responses (run_id, task, pos, target, predicted) and tasks (run_id, task, accuracy).
 
     A task below `low` is an example of "Low accuracy on <task>"; of the wrong
     answers of a run and task the first n are examples of "Misclassification
-    in <task>". count is of all kept, examples lists the first n.
+    in <task>". target and predicted are indexes of choices. count is of all
+    kept, examples lists the first n by run and position. Counts are added up
+    before they meet, and of each pattern only the first n examples are ranked.
     """
-    poor = tasks.where((F.col("accuracy") < low) & F.col("accuracy").isNotNull()).select(F.concat(F.lit("Low accuracy on "), "task").alias("pattern"), "run_id", F.lit(0).cast("long").alias("pos"), F.format_string("%s: %.4f", "run_id", "accuracy").alias("example"))
+    poor = tasks.where((F.col("accuracy") < low) & F.col("accuracy").isNotNull()).select(F.concat(F.lit("Low accuracy on "), "task").alias("pattern"), "run_id", F.lit(0).cast("long").alias("pos"), F.concat(F.col("run_id").cast("string"), F.lit(": "), percent(F.col("accuracy"))).alias("example"))
     wrong = responses.where((F.col("predicted") != F.col("target")) & F.col("predicted").isNotNull() & F.col("target").isNotNull())
     wrong = wrong.withColumn("_r", F.row_number().over(Window.partitionBy("run_id", "task").orderBy("pos"))).where(F.col("_r") <= n)
-    wrong = wrong.select(F.concat(F.lit("Misclassification in "), "task").alias("pattern"), "run_id", F.col("pos").cast("long").alias("pos"), F.concat_ws(" ", F.col("run_id"), F.concat(F.lit("expected "), F.col("target").cast("string"), F.lit(" got "), F.col("predicted").cast("string"))).alias("example"))
+    named = lambda c: F.concat(scoring.letter(F.col(c).cast("int")), F.lit(" (idx "), F.col(c).cast("string"), F.lit(")"))
+    example = F.concat(F.col("run_id").cast("string"), F.lit(" doc="), F.col("pos").cast("string"), F.lit(": predicted="), named("predicted"), F.lit(", expected="), named("target"))
+    wrong = wrong.select(F.concat(F.lit("Misclassification in "), "task").alias("pattern"), "run_id", F.col("pos").cast("long").alias("pos"), example.alias("example"))
     every = poor.union(wrong)
-    numbered = every.withColumn("_r", F.row_number().over(Window.partitionBy("pattern").orderBy("run_id", "pos")))
-    return numbered.groupBy("pattern").agg(F.count("*").alias("count"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= n, F.struct("_r", "example")))), lambda s: s["example"]).alias("examples"))
+    counts = every.groupBy("pattern").agg(F.count("*").alias("count"))
+    first = every.withColumn("_r", F.row_number().over(Window.partitionBy("pattern").orderBy("run_id", "pos"))).where(F.col("_r") <= n)
+    shown = first.groupBy("pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "example"))), lambda s: s["example"]).alias("examples"))
+    return counts.join(shown, "pattern")
 
 
-def matrix(facts: DataFrame, runs: list[str] | None = None, scale: float = 100.0) -> DataFrame:
-    """(metric, task, one column a run): value * scale, missing 0; metrics that are nowhere above 0 are dropped."""
-    some = facts.groupBy("metric").agg(F.max("value").alias("m")).where("m > 0").select("metric")
-    rows = facts.join(some, "metric", "left_semi").groupBy("metric", "task")
-    out = (rows.pivot("run_id", runs) if runs else rows.pivot("run_id")).agg(F.round(F.max("value") * scale, 6))
+def matrix(facts: DataFrame, values: list[str] | None = None, scale: float = 100.0, rows: str = "task", across: str = "run_id") -> DataFrame:
+    """(metric, rows, one column for each value of across): value * scale, missing 0; metrics that are nowhere above 0 are dropped."""
+    kept = facts.join(positive_metrics(facts), "metric", "left_semi").groupBy("metric", rows)
+    out = (kept.pivot(across, values) if values else kept.pivot(across)).agg(F.round(F.max("value") * scale, 6))
     return out.fillna(0.0)
 
 
+def positive_metrics(facts: DataFrame) -> DataFrame:
+    """The metrics that are above 0 in some run and task."""
+    return facts.groupBy("metric").agg(F.max("value").alias("m")).where("m > 0").select("metric")
+
+
+def metric_names(*facts: DataFrame) -> DataFrame:
+    """(pos, metric): the metrics that any of the tables has, in order of their names."""
+    every = facts[0].select("metric")
+    for f in facts[1:]:
+        every = every.union(f.select("metric"))
+    every = every.distinct()
+    return every.select(F.row_number().over(Window.orderBy("metric")).alias("pos"), "metric")  # a row a metric
+
+
+def first_seen(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """(pos, name): the distinct names in the order in which they first appear."""
+    first = rows.groupBy(name).agg(F.min(F.struct(*order)).alias("at"))
+    return first.select(F.row_number().over(Window.orderBy("at", name)).alias("pos"), name)  # a row a name
+
+
 def grid(facts: DataFrame, scale: float = 100.0) -> DataFrame:
     """(metric, task, run_id, value): the cells of matrix as rows, for any number of runs."""
-    some = facts.groupBy("metric").agg(F.max("value").alias("m")).where("m > 0").select("metric")
-    rows = facts.join(some, "metric", "left_semi").groupBy("metric", "task", "run_id").agg(F.round(F.max("value") * scale, 6).alias("value"))
-    cells = rows.select("metric", "task").distinct().crossJoin(rows.select("run_id").distinct())
+    rows = facts.join(positive_metrics(facts), "metric", "left_semi").groupBy("metric", "task", "run_id").agg(F.round(F.max("value") * scale, 6).alias("value"))
+    cells = rows.select("metric", "task").distinct().crossJoin(rows.select("run_id").distinct())  # the grid itself is the result
     return cells.join(rows, ["metric", "task", "run_id"], "left").fillna(0.0, ["value"])
 
 
+def chosen_runs(runs: DataFrame, wanted: list) -> tuple[DataFrame, DataFrame]:
+    """The runs with the wanted run_ids, and (run_id) of those that there are none of."""
+    asked = runs.sparkSession.createDataFrame([(w,) for w in wanted], f"run_id {runs.schema['run_id'].dataType.simpleString()}")
+    return runs.join(F.broadcast(asked), "run_id", "left_semi"), asked.join(runs, "run_id", "left_anti")
+
+
+def with_results(meta: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Runs (run_id, …) with the tasks they have results of; runs without results fall away."""
+    return meta.join(tasks, "run_id")
+
+
+def with_responses(tasks: DataFrame, responses: DataFrame) -> DataFrame:
+    """tasks (run_id, task, …) with their responses (run_id, task, …); a task without responses stays, with nulls."""
+    return tasks.join(responses, ["run_id", "task"], "left")
+
+
+def per_task(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(task, runs array<struct(run_id, accuracy, f1)>) of rows (run_id, task, accuracy, f1): each task's runs in order."""
+    held = F.array_sort(F.collect_list(F.struct(*order, F.struct("run_id", "accuracy", "f1").alias("r"))))
+    return rows.groupBy("task").agg(F.transform(held, lambda s: s["r"]).alias("runs"))
+
+
+def checkpoint_number(name: Column) -> Column:
+    """The step of a folder named checkpoint-<step>, null for other names."""
+    return F.regexp_extract(name, r"^checkpoint-(\d+)$", 1).try_cast("long")
+
+
+def latest_checkpoint(names: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """The name with the highest step (of each group), of names (name, …)."""
+    rows = names.withColumn("step", checkpoint_number(F.col("name"))).where("step is not null")
+    return rows.groupBy(*(group or [])).agg(F.max_by("name", F.struct("step", "name")).alias("name"), F.max("step").alias("step"))
+
+
 def run_label(configs: DataFrame) -> DataFrame:
     """(run_id, label) of configs (run_id, pos, model, notes): the first with a model as "model (notes)", else notes, else unknown."""
     name = F.substring_index("model", "/", -1)

@@ -201,19 +201,13 @@ def best_run(s, d):
 def _errors(s, d, tasks):
     e = _t(s, d, "events")
     answers = e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("task"), F.col("event_id").alias("pos"), F.pmod("event_id", F.lit(4)).alias("target"), F.pmod(F.floor(F.col("event_id") / 4), F.lit(4)).alias("predicted"))
-    out = runs.errors(answers, tasks.select("run_id", "task", F.round("accuracy", 6).alias("accuracy")))
-    return out.select("pattern", "count", F.array_join("examples", "; ").alias("examples"))
+    return runs.errors(answers, tasks.select("run_id", "task", F.round("accuracy", 6).alias("accuracy")))
 
 
 @_query
 def error_top5(s, d):
-    return _errors(s, d, _run_tasks(s, d).where(F.lit(False)))
-
-
-@_query
-def error_patterns(s, d):
-    """Both halves of errors; error_top5 has misclassifications only, as its SQL does."""
-    return _errors(s, d, _run_tasks(s, d))
+    """Both halves: low accuracy and misclassification."""
+    return _errors(s, d, _run_tasks(s, d)).select("pattern", "count", F.array_join("examples", "; ").alias("examples"))
 
 
 @_query
@@ -221,17 +215,20 @@ def low_accuracy(s, d):
     return _run_tasks(s, d).where((F.col("accuracy") < 0.5) & F.col("accuracy").isNotNull()).select("run_id", "task")
 
 
+def _metric_facts(s, d):
+    """Two metrics of all runs; the second is above 0 nowhere."""
+    return _t(s, d, "events").select(F.col("user_id").alias("run_id"), F.explode(F.create_map(F.lit("value"), F.col("value"), F.lit("loss"), -F.abs("value"))).alias("metric", "value"), F.col("event_type").alias("task"))
+
+
 @_query
 def metric_matrix(s, d):
-    e = _t(s, d, "events").where("user_id <= 3").select(F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_id"), F.lit("value").alias("metric"), F.col("event_type").alias("task"), "value")
-    return runs.matrix(e, ["run1", "run2", "run3"])
+    """A column a task, a row a run: all runs, since tasks are few."""
+    return runs.matrix(_metric_facts(s, d), ["click", "error", "purchase", "signup", "view"], rows="run_id", across="task")
 
 
 @_query
 def metric_grid(s, d):
-    """All runs; metric_matrix has the columns of three, as its SQL does. A second metric is above 0 nowhere."""
-    e = _t(s, d, "events").select(F.col("user_id").alias("run_id"), F.explode(F.create_map(F.lit("value"), F.col("value"), F.lit("loss"), -F.abs("value"))).alias("metric", "value"), F.col("event_type").alias("task"))
-    return runs.grid(e)
+    return runs.grid(_metric_facts(s, d))
 
 
 @_query
@@ -264,15 +261,6 @@ def topk_neighbors(s, d):
 
 @_query
 def rag_context(s, d):
-    e = _t(s, d, "embeddings")
-    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    texts = _t(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 80).alias("text"))
-    return retrieval.contexts(retrieval.top_k(queries, e, 3), texts)
-
-
-@_query
-def rag_context_whole(s, d):
-    """Whole texts; rag_context cuts them to 80 characters, as its SQL does."""
     e = _t(s, d, "embeddings")
     queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = retrieval.contexts(retrieval.top_k(queries, e, 3), _t(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"))

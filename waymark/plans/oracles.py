@@ -11,19 +11,19 @@ k AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY entity) AS rk FR
 r AS (SELECT a.map_id, row_number() OVER (PARTITION BY a.map_id ORDER BY a.rk, b.rk) AS seq, a.entity AS a,
     (CASE WHEN a.y > b.y THEN 'north' ELSE 'south' END) || (CASE WHEN a.x > b.x THEN 'east' ELSE 'west' END) AS dir, b.entity AS b
   FROM k a JOIN k b ON a.map_id = b.map_id AND a.rk - b.rk IN (1, 2) AND a.x <> b.x AND a.y <> b.y)"""
-_EDGES = (
+EDGES = (
     WORLD
     + """,
 e AS (SELECT map_id, 'x' AS axis, CASE WHEN dir LIKE '%east' THEN a ELSE b END AS src, CASE WHEN dir LIKE '%east' THEN b ELSE a END AS dst FROM r
   UNION SELECT map_id, 'y', CASE WHEN dir LIKE 'north%' THEN a ELSE b END, CASE WHEN dir LIKE 'north%' THEN b ELSE a END FROM r)"""
 )
-_CLOSED = (
-    _EDGES
+CLOSED = (
+    EDGES
     + """,
 c AS (SELECT map_id, axis, src, dst FROM e UNION SELECT c.map_id, c.axis, c.src, e.dst FROM c JOIN e ON c.map_id = e.map_id AND c.axis = e.axis AND c.dst = e.src)"""
 )
 _IN = (
-    _CLOSED
+    CLOSED
     + """,
 sides AS (SELECT map_id, dst AS ref, src AS obj, CASE axis WHEN 'x' THEN 'east' ELSE 'north' END AS side FROM c
   UNION SELECT map_id, src, dst, CASE axis WHEN 'x' THEN 'west' ELSE 'south' END FROM c),
@@ -38,7 +38,7 @@ SELECT map_id, 'Consider a map with multiple objects:' || chr(10) || 'Part ' ||
   string_agg('Part ' || a || ' is to the ' || upper(dir[1]) || dir[2:] || ' of Part ' || b || '.', ' ' ORDER BY seq) AS text FROM r GROUP BY map_id"""
 
 # each map's question is about its least (lo) and greatest (hi) entity
-_ASKED = (
+ASKED = (
     _IN
     + """,
 ends AS (SELECT map_id, min(least(a, b)) AS lo, max(greatest(a, b)) AS hi FROM r GROUP BY map_id),
@@ -58,10 +58,10 @@ ans AS (SELECT map_id, lo, hi, kind, north,
 said AS (SELECT map_id, CASE WHEN len(definite) > 0 THEN array_to_string(definite, ',') ELSE 'No valid options found' END AS d,
     CASE WHEN len(possible) > 0 THEN array_to_string(possible, ',') ELSE 'No valid options found' END AS p, definite, lo, hi, kind FROM ans)"""
 )
-_TASKS = """
+TASKS = """
 t AS (SELECT user_id AS run_id, event_type AS task, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) / 10000 AS accuracy,
     avg(CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 100 AS DOUBLE) END) AS f1 FROM events GROUP BY ALL)"""
-_TOP = """
+TOP = """
 u AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
 sim AS (SELECT q.vec_id AS query_id, i.vec_id, round(list_cosine_similarity(q.v, i.v), 6) AS score FROM u q, u i WHERE q.vec_id % 20 = 0),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sim) WHERE rank <= 3)"""
@@ -75,24 +75,24 @@ SQL = {
     "map_relations": f"WITH {WORLD} SELECT * FROM r",
     "passage_text": f"WITH {WORLD} {_PASSAGE}",
     "parse_relations": f"WITH {WORLD} SELECT map_id, seq, first_value('Part ' || b) OVER (PARTITION BY map_id ORDER BY seq) AS first, 'Part ' || a AS a, dir, 'Part ' || b AS b FROM r",
-    "axis_edges": f"WITH {_EDGES} SELECT * FROM e",
-    "axis_closure": f"WITH RECURSIVE {_CLOSED} SELECT * FROM c",
-    "closure_reduction": f"WITH RECURSIVE {_CLOSED} SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c a JOIN c b ON a.map_id = b.map_id AND a.axis = b.axis AND a.dst = b.src WHERE a.map_id = c.map_id AND a.axis = c.axis AND a.src = c.src AND b.dst = c.dst)",
-    "axis_relation_pairs": f"""WITH RECURSIVE {_CLOSED}, p AS (SELECT a.map_id, a.entity AS a, b.entity AS b FROM w a JOIN w b ON a.map_id = b.map_id AND a.entity < b.entity),
+    "axis_edges": f"WITH {EDGES} SELECT * FROM e",
+    "axis_closure": f"WITH RECURSIVE {CLOSED} SELECT * FROM c",
+    "closure_reduction": f"WITH RECURSIVE {CLOSED} SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c a JOIN c b ON a.map_id = b.map_id AND a.axis = b.axis AND a.dst = b.src WHERE a.map_id = c.map_id AND a.axis = c.axis AND a.src = c.src AND b.dst = c.dst)",
+    "axis_relation_pairs": f"""WITH RECURSIVE {CLOSED}, p AS (SELECT a.map_id, a.entity AS a, b.entity AS b FROM w a JOIN w b ON a.map_id = b.map_id AND a.entity < b.entity),
 d AS (SELECT map_id, axis, src AS a, dst AS b, 1 AS gt FROM c UNION ALL SELECT map_id, axis, dst, src, 0 FROM c)
 SELECT p.map_id, p.a, p.b, coalesce(max(CASE WHEN axis = 'x' THEN CASE gt WHEN 1 THEN 'gt' ELSE 'lt' END END), 'unknown') AS x_rel, coalesce(max(CASE WHEN axis = 'y' THEN CASE gt WHEN 1 THEN 'gt' ELSE 'lt' END END), 'unknown') AS y_rel
 FROM p LEFT JOIN d ON p.map_id = d.map_id AND p.a = d.a AND p.b = d.b GROUP BY p.map_id, p.a, p.b""",
     "count_in_direction": f"WITH RECURSIVE {_IN} SELECT map_id, ref, dir, count(*) AS n FROM lies GROUP BY ALL",
     "which_in_direction": f"WITH RECURSIVE {_IN} SELECT map_id, ref, dir, string_agg(CAST(obj AS VARCHAR), ',' ORDER BY obj) AS objects FROM lies GROUP BY ALL",
-    "answers_definite": f"WITH RECURSIVE {_ASKED} SELECT map_id, d AS answer FROM said",
-    "answers_possible": f"WITH RECURSIVE {_ASKED} SELECT map_id, p AS answer FROM said",
-    "clean_oracle": f"""WITH RECURSIVE {_ASKED},
+    "answers_definite": f"WITH RECURSIVE {ASKED} SELECT map_id, d AS answer FROM said",
+    "answers_possible": f"WITH RECURSIVE {ASKED} SELECT map_id, p AS answer FROM said",
+    "clean_oracle": f"""WITH RECURSIVE {ASKED},
 v AS (SELECT *, CASE kind WHEN 0 THEN MAP {{'A': 'Northeast', 'B': 'Northwest', 'C': 'Southeast', 'D': 'Southwest'}} WHEN 1 THEN MAP {{'A': 'Part ' || hi, 'B': 'Part ' || lo, 'C': 'Nobody', 'D': ''}} ELSE MAP {{'A': '0', 'B': '1', 'C': '2', 'D': '3'}} END AS o FROM said)
 SELECT map_id, array_to_string(definite, ',') AS oracle_option, CASE WHEN len(definite) > 0 THEN o[definite[1]] ELSE '' END AS oracle_answer,
   array_to_string([x || '. ' || o[x] FOR x IN definite], ' | ') AS oracle_full_answer, CASE WHEN len(definite) = 0 THEN d END AS clean_note FROM v""",
-    "strict_loose_acc": f"""WITH RECURSIVE {_ASKED} SELECT map_id, CASE WHEN {_set("d")} = {_set("p")} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS strict_acc,
+    "strict_loose_acc": f"""WITH RECURSIVE {ASKED} SELECT map_id, CASE WHEN {_set("d")} = {_set("p")} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS strict_acc,
   CASE WHEN list_has_all({_set("p")}, {_set("d")}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS loose_acc, CASE WHEN upper(p[1]) = upper(d) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS acc_gen FROM said""",
-    "state_groups": f"""WITH RECURSIVE {_CLOSED}, ax AS (SELECT map_id, entity, axis FROM w, (VALUES ('x'), ('y')) t(axis)),
+    "state_groups": f"""WITH RECURSIVE {CLOSED}, ax AS (SELECT map_id, entity, axis FROM w, (VALUES ('x'), ('y')) t(axis)),
 nb AS (SELECT ax.map_id, ax.axis, ax.entity, list_sort(list(DISTINCT d.dst) FILTER (d.dst IS NOT NULL)) AS down, list_sort(list(DISTINCT u.src) FILTER (u.src IS NOT NULL)) AS up
   FROM ax LEFT JOIN c d ON d.map_id = ax.map_id AND d.axis = ax.axis AND d.src = ax.entity LEFT JOIN c u ON u.map_id = ax.map_id AND u.axis = ax.axis AND u.dst = ax.entity GROUP BY ALL)
 SELECT map_id, axis, string_agg(CAST(entity AS VARCHAR), ',' ORDER BY entity) AS members, CAST(coalesce(any_value(len(down)), 0) AS BIGINT) AS level FROM nb GROUP BY map_id, axis, down, up""",
@@ -115,22 +115,18 @@ SELECT conv_id, turn, CAST(coalesce(ascii(upper(c)) - 65, -1) AS INTEGER) AS cho
 n AS (SELECT x, count(*) FILTER (quality = x) AS g, count(*) FILTER (toxic = x) AS p, count(*) FILTER (quality = x AND toxic = x) AS b FROM l, labels GROUP BY x)
 SELECT round(avg(2.0::DOUBLE * b / (g + p)), 9) AS macro_f1 FROM n""",
     "mcc": "SELECT round(corr(quality, toxic), 9) AS mcc FROM labels",
-    "run_summary": f"WITH {_TASKS} SELECT run_id, round(avg(accuracy), 6) AS avg_accuracy, round(avg(f1), 6) AS avg_f1, count(*) AS n_tasks FROM t GROUP BY run_id",
-    "best_run": f"WITH {_TASKS} SELECT run_id, round(avg(accuracy), 6) AS avg_accuracy FROM t GROUP BY run_id ORDER BY 2 DESC, 1 LIMIT 1",
-    "error_top5": """WITH w AS (SELECT user_id, event_type, event_id, event_id % 4 AS t, (event_id // 4) % 4 AS p FROM events WHERE event_id % 4 <> (event_id // 4) % 4),
-k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM w) WHERE r <= 5)
-SELECT 'Misclassification in ' || event_type AS pattern, count(*) AS count, string_agg(user_id || ' expected ' || t || ' got ' || p, '; ' ORDER BY n) FILTER (n <= 5) AS examples FROM k GROUP BY event_type""",
-    "error_patterns": f"""WITH {_TASKS},
+    "run_summary": f"WITH {TASKS} SELECT run_id, round(avg(accuracy), 6) AS avg_accuracy, round(avg(f1), 6) AS avg_f1, count(*) AS n_tasks FROM t GROUP BY run_id",
+    "best_run": f"WITH {TASKS} SELECT run_id, round(avg(accuracy), 6) AS avg_accuracy FROM t GROUP BY run_id ORDER BY 2 DESC, 1 LIMIT 1",
+    "error_top5": f"""WITH {TASKS},
 a AS (SELECT run_id, task, CAST(round(round(accuracy, 6) * 1000000) AS BIGINT) AS m FROM t),
-low AS (SELECT 'Low accuracy on ' || task AS pattern, run_id, 0 AS pos, run_id || ': ' || (m + 50) // 1000000 || '.' || lpad(CAST((m + 50) // 100 % 10000 AS VARCHAR), 4, '0') AS example FROM a WHERE m < 500000),
+low AS (SELECT 'Low accuracy on ' || task AS pattern, run_id, 0 AS pos, run_id || ': ' || (m + 50) // 10000 || '.' || lpad(CAST((m + 50) // 100 % 100 AS VARCHAR), 2, '0') || '%' AS example FROM a WHERE m < 500000),
 w AS (SELECT user_id, event_type, event_id, event_id % 4 AS t, (event_id // 4) % 4 AS p FROM events WHERE event_id % 4 <> (event_id // 4) % 4),
-mis AS (SELECT 'Misclassification in ' || event_type AS pattern, user_id AS run_id, event_id AS pos, user_id || ' expected ' || t || ' got ' || p AS example
+mis AS (SELECT 'Misclassification in ' || event_type AS pattern, user_id AS run_id, event_id AS pos, user_id || ' doc=' || event_id || ': predicted=' || chr(CAST(65 + p AS INTEGER)) || ' (idx ' || p || '), expected=' || chr(CAST(65 + t AS INTEGER)) || ' (idx ' || t || ')' AS example
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM w) WHERE r <= 5),
 k AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY run_id, pos) AS n FROM (SELECT * FROM low UNION ALL SELECT * FROM mis))
 SELECT pattern, count(*) AS count, string_agg(example, '; ' ORDER BY n) FILTER (n <= 5) AS examples FROM k GROUP BY pattern""",
-    "low_accuracy": f"WITH {_TASKS} SELECT run_id, task FROM t WHERE accuracy < 0.5",
-    "metric_matrix": """SELECT 'value' AS metric, event_type AS task, coalesce(round(max(value) FILTER (user_id = 1) * 100, 6), 0) AS run1, coalesce(round(max(value) FILTER (user_id = 2) * 100, 6), 0) AS run2,
-  coalesce(round(max(value) FILTER (user_id = 3) * 100, 6), 0) AS run3 FROM events WHERE user_id <= 3 GROUP BY event_type""",
+    "low_accuracy": f"WITH {TASKS} SELECT run_id, task FROM t WHERE accuracy < 0.5",
+    "metric_matrix": "SELECT 'value' AS metric, user_id AS run_id, " + ", ".join(f"coalesce(round(max(value) FILTER (event_type = '{t}') * 100, 6), 0) AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id",
     "metric_grid": """WITH f AS (SELECT user_id AS run_id, event_type AS task, unnest(['value', 'loss']) AS metric, unnest([value, -abs(value)]) AS v FROM events),
 r AS (SELECT metric, task, run_id, round(max(v) * 100, 6) AS v FROM f WHERE metric IN (SELECT metric FROM f GROUP BY metric HAVING max(v) > 0) GROUP BY ALL),
 c AS (SELECT * FROM (SELECT DISTINCT metric, task FROM r), (SELECT DISTINCT run_id FROM r))
@@ -138,9 +134,8 @@ SELECT c.metric, c.task, c.run_id, coalesce(r.v, 0) AS value FROM c LEFT JOIN r
     "props_metrics": "SELECT event_id AS run_id, 't' AS task, 'acc' AS metric, 'none' AS filter, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value, 0.5::DOUBLE AS stderr FROM events",
     "last_n_runs": "SELECT user_id AS run_id FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 5",
     "missing_runs": "SELECT c_custkey AS run_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)",
-    "topk_neighbors": f"WITH {_TOP} SELECT query_id, rank, vec_id, score FROM top",
-    "rag_context": f"WITH {_TOP} SELECT query_id, string_agg('- ' || left(d.text, 80), chr(10) ORDER BY rank) AS context FROM top JOIN documents d ON d.doc_id = top.vec_id GROUP BY query_id",
-    "rag_context_whole": f"""WITH {_TOP}, c AS (SELECT query_id, string_agg('- ' || d.text, chr(10) ORDER BY rank) AS context FROM top JOIN documents d ON d.doc_id = top.vec_id GROUP BY query_id)
+    "topk_neighbors": f"WITH {TOP} SELECT query_id, rank, vec_id, score FROM top",
+    "rag_context": f"""WITH {TOP}, c AS (SELECT query_id, string_agg('- ' || d.text, chr(10) ORDER BY rank) AS context FROM top JOIN documents d ON d.doc_id = top.vec_id GROUP BY query_id)
 SELECT query_id, length(context) AS n_chars, md5(context) AS context_md5 FROM c""",
     "chunk_documents": """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents),
 c AS (SELECT doc_id, w, unnest(range(greatest(1, CAST(ceil((len(w) - 100) / 700.0) AS BIGINT)))) AS chunk_no FROM d WHERE len(w) > 0)
