@@ -71,9 +71,18 @@ def same(df, want):
     assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("size", [exchange.BATCH_BYTES, 700])
-def test_substring(spark, monkeypatch, size):
-    monkeypatch.setattr(exchange, "BATCH_BYTES", size)
+#: Bytes of a batch and of a part of the hash space, and rows that a batch sends: one level, and several.
+SIZES = [(exchange.BATCH_BYTES, exchange.PART_BYTES, exchange.FAN), (700, 4000, 3), (700, 1500, 256)]
+
+
+def shrink(monkeypatch, sizes):
+    for name, value in zip(("BATCH_BYTES", "PART_BYTES", "FAN"), sizes, strict=True):
+        monkeypatch.setattr(exchange, name, value)
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_substring(spark, monkeypatch, sizes):
+    shrink(monkeypatch, sizes)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_words string").repartition(5)
     got = substring_dedup.remove_repeats(df)
@@ -81,15 +90,55 @@ def test_substring(spark, monkeypatch, size):
     same(substring_dedup.remove_repeats(df.limit(0)), [])
 
 
-@pytest.mark.parametrize("size", [exchange.BATCH_BYTES, 700])
-def test_suffix(spark, monkeypatch, size):
-    monkeypatch.setattr(exchange, "BATCH_BYTES", size)
+@pytest.mark.parametrize(("sizes", "many"), [*((s, 4096) for s in SIZES), (SIZES[1], 1)])
+def test_suffix(spark, monkeypatch, sizes, many):
+    shrink(monkeypatch, sizes)
+    monkeypatch.setattr(suffix_dedup, "MANY_KINDS", many)
     rows = [r for k, r in enumerate(corpus(2)) if r[0] != 7 or k == 0]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_bytes string").repartition(5)
     same(suffix_dedup.remove_repeats(df), brute_bytes(rows))
     same(suffix_dedup.remove_repeats(df.limit(0)), [])
 
 
+def test_levels_grow_with_the_corpus(spark, monkeypatch):
+    shrink(monkeypatch, (700, 4000, 3))
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    batches = exchange.Batches(df)
+    assert batches.levels > 1 and batches.fan <= 3
+    keys = np.sort(text.mix(np.arange(5000, dtype=np.uint64)))
+    digits = [exchange.digit(keys, k, 3, 3) for k in range(3)]
+    part = digits[0] * 9 + digits[1] * 3 + digits[2]
+    assert (np.diff(part) >= 0).all() and len(np.unique(part)) == 27
+
+
+def test_words_with_equal_polynomials(spark):
+    # Thue-Morse words collide under any polynomial modulo 2**64
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    one, two = ("".join(x[b] for b in bits) for x in ("ab", "ba"))
+    buf = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    w = text.split(buf, np.array([0, len(buf)]))
+    for seed in (0, 1):
+        assert len(set(w.hashes(seed).tolist())) == 2
+    tail = " ".join(f"t{i}" for i in range(12))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{one} {tail}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(substring_dedup.remove_repeats(df), brute_words(rows))
+    same(suffix_dedup.remove_repeats(df), brute_bytes(rows))
+
+
+def test_equal_spans():
+    rng = random.Random(4)
+    words = ["", "a", "ab", "abcdefgh", "abcdefghi", "abcdefgX", "x" * 30, "x" * 29 + "y"]
+    seq = [rng.choice(words) for _ in range(300)]
+    buf = np.frombuffer("".join(seq).encode(), np.uint8)
+    end = np.cumsum([len(x) for x in seq])
+    start = end - [len(x) for x in seq]
+    other = np.array([rng.randrange(len(seq)) for _ in seq])
+    assert text.equal_spans(buf, start, end, start[other], end[other]).tolist() == [a == seq[k] for a, k in zip(seq, other)]
+
+
 def test_lpf():
     rng = np.random.default_rng(3)
     for n, k in ((0, 2), (1, 2), (300, 2), (400, 4), (50, 1)):

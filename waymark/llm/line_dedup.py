@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from waymark.llm.exchange import Batch, Batches, by_part, id_array, pack, unpack
-from waymark.llm.text import hash_spans, mix, rolling
+from waymark.llm.exchange import Batch, Batches, Heard, Message, id_array
+from waymark.llm.text import equal_spans, hash_spans, mix, rolling
 
 #: A chunk ends where the rolling hash of its last lines is divisible by this, and after so many lines at most.
 DIVISOR, MOST_LINES = 4, 64
@@ -81,7 +81,6 @@ def remove_chunks(docs: DataFrame, window: int = 2, least_lines: int = 2, keep_t
     text several times. Other columns are not carried.
     """
     corpus = Batches(docs)
-    parts = corpus.parts
 
     def kinds(batch: Batch) -> tuple:
         start, end, before, begins, ends, doc, key = _chunks(batch, window)
@@ -94,63 +93,42 @@ def remove_chunks(docs: DataFrame, window: int = 2, least_lines: int = 2, keep_t
     def raw(batch: Batch, start: np.ndarray, end: np.ndarray, begins: np.ndarray, ends: np.ndarray, c: int) -> bytes:
         return batch.buf[start[begins[c]] : end[ends[c] - 1]].tobytes()
 
-    def send_keys(batch: Batch, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
-        _, _, _, begins, _, doc, _, unique, first, _ = kinds(batch)
-        for p, where in by_part(unique, parts):
-            f = first[where]
-            known, local = np.unique(batch.ids[doc[f]], return_inverse=True)
-            yield p, pack(unique[where], known, local.astype(np.uint16), f.astype(np.int64))
+    def send_keys(batch: Batch, _: list[Heard]) -> Message:
+        _, _, _, _, _, doc, _, unique, first, _ = kinds(batch)
+        return Message(unique, [batch.ids[doc[first]], first.astype(np.int64)])
 
-    def meet_keys(payloads: list[bytes]) -> list[bytes]:
+    def meet_keys(m: Message) -> np.ndarray:
         """Of each key: 0 one batch has it, 1 this batch has the first, 2 another one does."""
-        each = [unpack(x) for x in payloads]
-        sizes = [len(x[0]) for x in each]
-        key, ids = np.concatenate([x[0] for x in each]), np.concatenate([x[1][x[2]] for x in each])
-        at = np.concatenate([x[3] for x in each])
-        order = np.lexsort((np.repeat(np.arange(len(each)), sizes), at, ids, key))
-        k = key[order]
+        order = np.lexsort((np.arange(len(m.key)), m.columns[1], m.columns[0], m.key))
+        k = m.key[order]
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         group = np.cumsum(new) - 1
-        many = np.bincount(group) > 1
+        many = np.bincount(group, minlength=1) > 1
         state = np.zeros(len(k), np.uint8)
         state[order] = np.where(many[group], np.where(new, 1, 2), 0)
-        return [x.tobytes() for x in np.split(state, np.cumsum(sizes)[:-1])]
-
-    def states(heard: dict[int, bytes], unique: np.ndarray) -> np.ndarray:
-        state = np.zeros(len(unique), np.uint8)
-        for p, where in by_part(unique, parts):
-            state[where] = np.frombuffer(heard[p], np.uint8)
         return state
 
-    def send_bytes(batch: Batch, heard: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
+    def send_bytes(batch: Batch, heard: list[Heard]) -> Message:
         start, end, _, begins, ends, _, _, unique, first, _ = kinds(batch)
-        state = states(heard, unique)
-        for p, where in by_part(unique, parts):
-            sent = np.flatnonzero(state[where])
-            if len(sent):
-                texts = [raw(batch, start, end, begins, ends, c) for c in first[where][sent]]
-                yield parts + p, pack(unique[where][sent], state[where][sent], np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
-
-    def meet_bytes(payloads: list[bytes]) -> list[bytes]:
+        state = heard[0].values
+        sent = np.flatnonzero(state)
+        texts = [raw(batch, start, end, begins, ends, c) for c in first[sent]]
+        return Message(unique[sent], [state[sent]], np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
+
+    def meet_bytes(m: Message) -> np.ndarray:
         """For each key sent, whether its bytes are those of the first."""
-        each = [unpack(x) for x in payloads]
-        first: dict[int, bytes] = {}
-        cut = []
-        for key, state, size, text in each:
-            ends = np.cumsum(size)
-            cut.append([text[e - s : e].tobytes() for s, e in zip(size.tolist(), ends.tolist(), strict=True)])
-            first.update((k, t) for k, s, t in zip(key.tolist(), state.tolist(), cut[-1], strict=True) if s == 1)
-        return [np.array([first.get(k) == t for k, t in zip(x[0].tolist(), texts, strict=True)], np.uint8).tobytes() for x, texts in zip(each, cut, strict=True)]
-
-    def finish(batch: Batch, heard: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        stop = np.cumsum(m.sizes)
+        firsts = np.flatnonzero(m.columns[0] == 1)
+        firsts = firsts[np.argsort(m.key[firsts], kind="stable")]
+        at = firsts[np.minimum(np.searchsorted(m.key[firsts], m.key), len(firsts) - 1)]
+        return (m.key[at] == m.key) & equal_spans(m.blob, stop - m.sizes, stop, (stop - m.sizes)[at], stop[at])
+
+    def finish(batch: Batch, heard: list[Heard]) -> Iterator[pa.RecordBatch]:
         start, end, before, begins, ends, doc, wide, unique, first, place = kinds(batch)
-        state = states({k: v for k, v in heard.items() if k < parts}, unique)
+        state = heard[0].values
         equal = np.zeros(len(unique), bool)
-        for p, where in by_part(unique, parts):
-            sent = np.flatnonzero(state[where])
-            if len(sent):
-                equal[where.start + sent] = np.frombuffer(heard[parts + p], np.uint8).astype(bool)
+        equal[np.flatnonzero(state)] = heard[1].values.astype(bool)
         gone = np.zeros(len(begins), bool)
         again = (state[place] == 2) | (wide != first[place])
         for c, k in zip(wide[again].tolist(), place[again].tolist(), strict=True):
@@ -177,5 +155,5 @@ def remove_chunks(docs: DataFrame, window: int = 2, least_lines: int = 2, keep_t
         yield pa.RecordBatch.from_arrays(columns, names)
 
     known = corpus.ask(send_keys, meet_keys)
-    compared = corpus.ask(send_bytes, meet_bytes, known)
-    return corpus.finish(known.union(compared), finish, "doc_id long, n_lines long, n_removed long, n_chunks long, kept_sha256 string" + ", kept string" * keep_text)
+    compared = corpus.ask(send_bytes, meet_bytes, [known])
+    return corpus.finish([known, compared], finish, "doc_id long, n_lines long, n_removed long, n_chunks long, kept_sha256 string" + ", kept string" * keep_text)

@@ -9,28 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from waymark.llm.exchange import Batch, Batches, by_part, id_array, pack, unpack
+from waymark.llm.exchange import Batch, Batches, Heard, Message, id_array
 from waymark.llm.text import Words, covered, split
 
 
-def _first_docs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys (sorted), the smallest doc that has each, and for each input its key's place. Docs ascend."""
-    unique, first, place = np.unique(keys, return_index=True, return_inverse=True)
-    return unique, docs[first], place
-
-
-def _bits(batch_parts: list[np.ndarray], hit: np.ndarray) -> list[bytes]:
-    ends = np.cumsum([len(x) for x in batch_parts])
-    return [np.packbits(hit[e - len(x) : e]).tobytes() for x, e in zip(batch_parts, ends, strict=True)]
-
-
-def _unbits(heard: dict[int, bytes], keys: np.ndarray, parts: int) -> np.ndarray:
-    out = np.zeros(len(keys), bool)
-    for p, where in by_part(keys, parts):
-        out[where] = np.unpackbits(np.frombuffer(heard[p], np.uint8), count=where.stop - where.start).astype(bool)
-    return out
-
-
 def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = False) -> DataFrame:
     """Remove each word covered by a window of `window` words that also starts in a document with a smaller doc_id.
 
@@ -49,7 +31,6 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = False) -
     """
     block = (window + 1) // 2
     corpus = Batches(docs)
-    parts = corpus.parts
     short = np.uint64(24)  # probes are matched on 40 bits; a chance match only costs a look in the second round
 
     def probes(batch: Batch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,23 +44,20 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = False) -
         is_block[place[aligned]] = True
         return words, h, at, unique, place, is_block
 
-    def send_probes(batch: Batch, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
+    def send_probes(batch: Batch, _: list[Heard]) -> Message:
         _, _, _, unique, _, is_block = probes(batch)
-        for p, where in by_part(unique, parts):
-            yield p, pack(unique[where] >> short, np.packbits(is_block[where]))
-
-    def meet_probes(payloads: list[bytes]) -> list[bytes]:
-        each = [unpack(x) for x in payloads]
-        keys = [x[0] for x in each]
-        block_bits = [np.unpackbits(x[1], count=len(x[0])) for x in each]
-        _, place, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        blocks = np.bincount(place, np.concatenate(block_bits), len(count)) > 0
-        return _bits(keys, ((count > 1) & blocks)[place])
-
-    def windows(batch: Batch, heard: dict[int, bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows around hits: their starts, the distinct keys, each key's first doc and each window's key."""
+        return Message(unique, [is_block.astype(np.uint8)])
+
+    def meet_probes(m: Message) -> np.ndarray:
+        """Of each probe whether another batch has it too, and some document as a block."""
+        _, place, count = np.unique(m.key, return_inverse=True, return_counts=True)
+        blocks = np.bincount(place, m.columns[0], len(count)) > 0
+        return ((count > 1) & blocks)[place]
+
+    def windows(batch: Batch, heard: list[Heard]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows around hits: their starts, the distinct names (two hashes of 64 bits), each name's first doc and each window's name."""
         words, h, at, unique, place, is_block = probes(batch)
-        hit = _unbits({k: v for k, v in heard.items() if k < parts}, unique, parts)
+        hit = heard[0].values.astype(bool)
         docs = words.doc[at]
         low, high = np.full(len(unique), len(batch.ids)), np.full(len(unique), -1)
         np.minimum.at(low, place, docs)
@@ -89,29 +67,34 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = False) -
         hits[at[hit[place]] + 1] = 1
         hits = np.cumsum(hits)
         start, key = words.windows(h, window)
-        near = hits[start + window - block + 1] > hits[start]
-        start, key = start[near], key[near]
-        unique, first, place = _first_docs(key, words.doc[start])
-        return words, start, unique, first, place, key
-
-    def send_windows(batch: Batch, heard: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
-        _, _, unique, first, _, _ = windows(batch, heard)
-        for p, where in by_part(unique, parts):
-            docs, local = np.unique(first[where], return_inverse=True)
-            yield parts + p, pack(unique[where], batch.ids[docs], local.astype(np.uint16))
-
-    def meet_windows(payloads: list[bytes]) -> list[bytes]:
-        each = [unpack(x) for x in payloads]
-        keys = [x[0] for x in each]
-        docs = np.concatenate([x[1][x[2]] for x in each])
-        unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-        least = np.full(len(unique), np.iinfo(np.int64).max)
-        np.minimum.at(least, place, docs)
-        return _bits(keys, least[place] < docs)
-
-    def finish(batch: Batch, heard: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        words, start, unique, first, place, _ = windows(batch, heard)
-        earlier = _unbits({k - parts: v for k, v in heard.items() if k >= parts}, unique, parts)
+        near = np.flatnonzero(hits[start + window - block + 1] > hits[start])
+        other = words.windows(words.hashes(1), window)[1] if len(near) else key
+        start, key, other = start[near], key[near], other[near]
+        order = np.lexsort((start, other, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(key[order]) != 0) | (np.diff(other[order]) != 0)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        first = order[new]
+        return words, start, key[first], other[first], words.doc[start[first]], place
+
+    def send_windows(batch: Batch, heard: list[Heard]) -> Message:
+        _, _, key, other, first, _ = windows(batch, heard)
+        return Message(key, [other, batch.ids[first]])
+
+    def meet_windows(m: Message) -> np.ndarray:
+        """Of each window whether a smaller document has one of the same name, of 128 bits."""
+        order = np.lexsort((m.columns[1], m.columns[0], m.key))
+        key, other, ids = m.key[order], m.columns[0][order], m.columns[1][order]
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(key) != 0) | (np.diff(other) != 0)
+        out = np.empty(len(order), bool)
+        out[order] = ids[new][np.cumsum(new) - 1] < ids
+        return out
+
+    def finish(batch: Batch, heard: list[Heard]) -> Iterator[pa.RecordBatch]:
+        words, start, _, _, first, place = windows(batch, heard)
+        earlier = heard[1].values.astype(bool)
         gone = earlier[place] | (batch.ids[words.doc[start]] > batch.ids[first[place]])
         removed = covered(start[gone], window, len(words.start))
         texts, n, cut = [], [], []
@@ -129,5 +112,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = False) -
         yield pa.RecordBatch.from_arrays(columns, names)
 
     first = corpus.ask(send_probes, meet_probes)
-    second = corpus.ask(send_windows, meet_windows, first)
-    return corpus.finish(first.union(second), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    second = corpus.ask(send_windows, meet_windows, [first])
+    return corpus.finish([first, second], finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)

@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from waymark.llm.exchange import NOTE, Batch, Batches, by_part, id_array, pack, part_of, unpack
+from waymark.llm.exchange import Batch, Batches, Heard, Message, id_array, pack, unpack
 from waymark.llm.text import SLICE_BYTES, covered, hash_spans, mix, rolling
 
 _GRAM = 32
+#: Kinds of runs with one anchor that one suffix array takes; windows around commoner anchors meet one by one.
+MANY_KINDS = 4096
 #: A byte that UTF-8 never has: it ends each segment in a suffix array.
 _END = 0xFF
 
@@ -70,51 +72,36 @@ def _smaller_neighbours(order: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def longest_previous_factor(data: np.ndarray, most: int) -> np.ndarray:
-    """For each position the length of its longest match that starts earlier, exact up to `most` (14 at least).
+def longest_previous_factor(data: np.ndarray, most: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """For each start (every place by default) the length of its longest match with an earlier start, exact up to `most` (14 at least).
 
     The longest match of a suffix with an earlier one is with one of two
     neighbours in suffix order: the nearest before it and the nearest after it
     whose position is smaller.
     """
     n = len(data)
-    if n == 0:
+    starts = np.arange(n) if starts is None else starts
+    if not len(starts):
         return np.zeros(0, np.int64)
     levels = _ranks(data, most)
     size, rank = levels[-1]
-    order, _ = _ordered(_pairs(rank, most - size, np.arange(n)))
-    out = np.zeros(n, np.int64)
+    order, _ = _ordered(_pairs(rank, most - size, starts))
+    out = np.zeros(len(starts), np.int64)
     for i, j in _smaller_neighbours(order):
-        match = np.zeros(n, np.int64)
+        i, j = i[j >= 0], j[j >= 0]
+        a, b = starts[i], starts[j]
+        match = np.zeros(len(i), np.int64)
         for step, rank in [levels[-1], *reversed(levels), *[(1, data)] * 6]:
-            a, b = i + match, j + match
-            ok = (j >= 0) & (a < n) & (b < n)
-            ok[ok] = rank[a[ok]] == rank[b[ok]]
-            match += step * ok
+            inside = np.maximum(a, b) + match < n
+            same = inside & (rank[np.minimum(a + match, n - 1)] == rank[np.minimum(b + match, n - 1)])
+            match += step * same
         out[i] = np.maximum(out[i], match)
     return np.minimum(out, most)
 
 
-def starts_earlier(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Whether the longest previous factor of each start, among the starts, is `length` or more.
-
-    As longest_previous_factor, with the suffix array of the starts alone, and
-    of the match only whether it is long enough: two overlapping prefixes whose
-    ranks agree.
-    """
-    size, rank = _ranks(data, length)[-1]
-    order, _ = _ordered(_pairs(rank, length - size, starts))
-    out = np.zeros(len(starts), bool)
-    for i, j in _smaller_neighbours(order):
-        ok = j >= 0
-        a, b = starts[i[ok]], starts[j[ok]]
-        out[i[ok]] |= (rank[a] == rank[b]) & (rank[a + length - size] == rank[b + length - size])
-    return out
-
-
 @dataclass
 class _Runs:
-    """Runs of window starts with one anchor: first and last start, the anchor's place, document, anchor hash and hash of all their bytes."""
+    """Runs of window starts with one anchor: first and last start, the anchor's place, document, anchor hash and two hashes of all their bytes."""
 
     first: np.ndarray
     last: np.ndarray
@@ -122,6 +109,7 @@ class _Runs:
     doc: np.ndarray
     anchor: np.ndarray
     whole: np.ndarray
+    other: np.ndarray
 
 
 def _runs(batch: Batch, length: int) -> _Runs:
@@ -152,10 +140,10 @@ def _runs(batch: Batch, length: int) -> _Runs:
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(start)) - 1
         place = start[a] - at[a] - lo
-        whole = hash_spans(batch.buf, start[a], start[b] + length) ^ mix((place + width).astype(np.uint64))
-        found.append((start[a], start[b], at[a] + lo, doc[a], mix(grams[at[a]]), whole))  # mixed again: anchors are small hashes
+        whole, other = (hash_spans(batch.buf, start[a], start[b] + length, seed) ^ mix((place + width).astype(np.uint64)) for seed in (0, 1))
+        found.append((start[a], start[b], at[a] + lo, doc[a], mix(grams[at[a]]), whole, other))  # mixed again: anchors are small hashes
     if not found:
-        return _Runs(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)))
+        return _Runs(*(np.zeros(0, t) for t in (*[np.int64] * 4, *[np.uint64] * 3)))
     return _Runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
@@ -166,11 +154,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False)
     strings are judged on the input. A window's anchor is its least hashed
     32-byte gram, so equal windows have equal anchors at equal places and meet
     in one part of the hash space, in runs of window starts that share an
-    anchor. Runs with equal bytes are settled by their order alone. Where
+    anchor. Runs with equal bytes (by two hashes of 64 bits) are settled by their order alone. Where
     different runs share an anchor, the first of each kind goes into a suffix
     array with the others in corpus order; its longest-previous-factor array,
     from previous and next smaller positions in suffix order, tells which
-    windows start earlier.
+    windows start earlier. An anchor with more than MANY_KINDS kinds, as the
+    end of a line that a great part of the corpus has, would make one task; its
+    windows are spread by two hashes of 64 bits of their bytes and meet there.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256, and kept (binary) with keep_text. A null text is empty; a
@@ -179,113 +169,131 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False)
     position in the text, then arbitrarily. Other columns are not carried.
     """
     corpus = Batches(docs)
-    parts = corpus.parts
 
-    def kinds(batch: Batch) -> tuple[_Runs, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs; distinct (anchor, whole) in order: the run that comes first, and each run's kind."""
+    def kinds(batch: Batch) -> tuple[_Runs, np.ndarray, np.ndarray]:
+        """Runs; of the distinct (anchor, whole, other) in order the run that comes first; and each run's kind."""
         runs = _runs(batch, length)
-        order = np.lexsort((runs.first, runs.whole, runs.anchor))
-        a, w = runs.anchor[order], runs.whole[order]
+        order = np.lexsort((runs.first, runs.other, runs.whole, runs.anchor))
+        a, w, o = runs.anchor[order], runs.whole[order], runs.other[order]
         new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
+        new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (o[1:] != o[:-1])
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
-        return runs, order[new], kind, np.cumsum(new) - 1
+        return runs, order[new], kind
 
     def place(batch: Batch, runs: _Runs, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return batch.ids[runs.doc[which]], runs.first[which] - batch.offsets[runs.doc[which]]
 
-    def send_kinds(batch: Batch, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
-        runs, first, kind, _ = kinds(batch)
+    def send_kinds(batch: Batch, _: list[Heard]) -> tuple[Message, bytes]:
+        runs, first, kind = kinds(batch)
         ids, at = place(batch, runs, first)
-        yield NOTE, pack(runs.first.astype(np.uint64), (runs.last - runs.first).astype(np.int32), (runs.at - runs.first).astype(np.int32), kind.astype(np.int32), np.bincount(part_of(runs.anchor[first], parts), minlength=parts).astype(np.int32))
-        for p, where in by_part(runs.anchor[first], parts):
-            known, local = np.unique(ids[where], return_inverse=True)
-            # hashes are not in order here, so only the anchors gain from differences
-            yield p, pack(runs.anchor[first][where], runs.whole[first][where].view(np.int64), known, local.astype(np.uint16), at[where].astype(np.int64))
-
-    def meet_kinds(payloads: list[bytes]) -> list[bytes]:
-        """Of each kind: 0 nothing to do, 1 an earlier run has the same bytes, 2 the first of several kinds."""
-        each = [unpack(x) for x in payloads]
-        sizes = [len(x[0]) for x in each]
-        anchor, whole = np.concatenate([x[0] for x in each]), np.concatenate([x[1] for x in each])
-        ids, at = np.concatenate([x[2][x[3]] for x in each]), np.concatenate([x[4] for x in each])
-        order = np.lexsort((np.repeat(np.arange(len(each)), sizes), at, ids, whole, anchor))
-        a, w = anchor[order], whole[order]
+        note = pack(runs.first.astype(np.uint64), (runs.last - runs.first).astype(np.int32), (runs.at - runs.first).astype(np.int32), kind.astype(np.int32))
+        # these hashes are not in order, so only the anchors gain from differences
+        return Message(runs.anchor[first], [runs.whole[first].view(np.int64), runs.other[first].view(np.int64), ids, at.astype(np.int64)]), note
+
+    def meet_kinds(m: Message) -> np.ndarray:
+        """Of each kind: 0 nothing to do, 1 an earlier run has the same bytes, 2 the first of several kinds, 3 the first of very many."""
+        whole, other, ids, at = m.columns
+        order = np.lexsort((np.arange(len(m.key)), at, ids, other, whole, m.key))
+        a, w, o = m.key[order], whole[order], other[order]
         new_anchor = np.ones(len(order), bool)
         new_anchor[1:] = a[1:] != a[:-1]
         new = new_anchor.copy()
-        new[1:] |= w[1:] != w[:-1]
+        new[1:] |= (w[1:] != w[:-1]) | (o[1:] != o[:-1])
         group = np.cumsum(new_anchor) - 1
-        many = np.bincount(group, new) > 1
+        kinds = np.bincount(group, new)
+        todo = np.where(kinds > MANY_KINDS, 3, np.where(kinds > 1, 2, 0))
         state = np.zeros(len(order), np.uint8)
-        state[order] = np.where(new, 2 * many[group], 1)
-        return [x.tobytes() for x in np.split(state, np.cumsum(sizes)[:-1])]
+        state[order] = np.where(new, todo[group], 1)
+        return state
 
-    def mixed(batch: Batch, heard: dict[int, bytes]) -> tuple[_Runs, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The runs, the first of each kind, each run's kind, the kinds' states, and the first runs of those in state 2, by anchor."""
-        starts, more, at, kind, counts = unpack(heard[NOTE])
+    def told(batch: Batch, heard: list[Heard], wanted: int) -> tuple[_Runs, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs, the first of each kind, each run's kind, the kinds' states, and the first runs of those in the wanted state, by anchor."""
+        starts, more, at, kind = unpack(heard[0].note)
         starts = starts.astype(np.int64)
         doc = np.searchsorted(batch.offsets, starts, "right") - 1
-        runs = _Runs(starts, starts + more, starts + at, doc, np.zeros(len(starts), np.uint64), np.zeros(0, np.uint64))
+        none = np.zeros(0, np.uint64)
+        runs = _Runs(starts, starts + more, starts + at, doc, np.zeros(len(starts), np.uint64), none, none)
         first = np.unique(kind, return_index=True)[1]
-        state = np.frombuffer(b"".join(heard[p] for p in range(parts) if counts[p]), np.uint8)
-        chosen = np.sort(first[state == 2])
+        state = heard[0].values
+        chosen = np.sort(first[state == wanted])
         runs.anchor[chosen] = hash_spans(batch.buf, runs.at[chosen], runs.at[chosen] + min(_GRAM, length))
         return runs, first, kind, state, chosen[np.argsort(runs.anchor[chosen], kind="stable")]
 
-    def send_segments(batch: Batch, heard: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
-        runs, _, _, _, chosen = mixed(batch, heard)
+    def send_segments(batch: Batch, heard: list[Heard]) -> Message:
+        runs, _, _, _, chosen = told(batch, heard, 2)
         ids, at = place(batch, runs, chosen)
-        for p, where in by_part(runs.anchor[chosen], parts):
-            c = chosen[where]
-            text = np.concatenate([batch.buf[a : b + length] for a, b in zip(runs.first[c], runs.last[c], strict=True)])
-            yield parts + p, pack(runs.anchor[c], ids[where], at[where], (runs.last[c] - runs.first[c] + length).astype(np.int64), text)
+        size = runs.last[chosen] - runs.first[chosen] + length
+        text = batch.buf[np.repeat(runs.first[chosen] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        return Message(runs.anchor[chosen], [ids, at.astype(np.int64)], size.astype(np.int64), text)
 
-    def meet_segments(payloads: list[bytes]) -> list[bytes]:
+    def meet_segments(m: Message) -> np.ndarray:
         """For each window start of each segment, whether it starts earlier in a segment with the same anchor."""
-        each = [unpack(x) for x in payloads]
-        anchor, ids, at, size = (np.concatenate([x[k] for x in each]) for k in range(4))
-        text = np.concatenate([x[4] for x in each])
-        sender = np.repeat(np.arange(len(each)), [len(x[0]) for x in each])
-        begin = np.cumsum(size) - size
-        order = np.lexsort((at, ids, anchor))
-        gone = np.zeros(len(text), bool)
+        ids, at = m.columns
+        begin = np.cumsum(m.sizes) - m.sizes
+        order = np.lexsort((at, ids, m.key))
+        gone = np.zeros(len(m.blob), bool)
         lo = 0
-        ends = np.cumsum(size[order] + 1)
-        same = np.flatnonzero(np.append(np.diff(anchor[order]) != 0, True)) + 1  # after each anchor's last segment
+        ends = np.cumsum(m.sizes[order] + 1)
+        same = np.flatnonzero(np.append(np.diff(m.key[order]) != 0, True)) + 1  # after each anchor's last segment
         while lo < len(order):  # whole anchors, as many as make about SLICE_BYTES
             k = int(np.searchsorted(ends[same - 1], (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right"))
             hi = int(same[min(max(k - 1, int(np.searchsorted(same, lo, "right"))), len(same) - 1)])
             take = order[lo:hi]
-            total = size[take] + 1
+            total = m.sizes[take] + 1
             at_data = np.cumsum(total) - total
             place = np.arange(total.sum()) - np.repeat(at_data, total)
-            data = np.append(text, np.uint8(0))[np.minimum(np.repeat(begin[take], total) + place, len(text))]
+            data = np.append(m.blob, np.uint8(0))[np.minimum(np.repeat(begin[take], total) + place, len(m.blob))]
             data[at_data + total - 1] = _END
-            starts = np.flatnonzero(place <= np.repeat(size[take], total) - length)
-            found = starts[starts_earlier(data, starts, length)]
+            starts = np.flatnonzero(place <= np.repeat(m.sizes[take], total) - length)
+            found = starts[longest_previous_factor(data, length, starts) >= length]
             gone[np.repeat(begin[take], total)[found] + place[found]] = True
             lo = hi
-        total = np.bincount(sender, size, len(each)).astype(np.int64)
-        stops = np.cumsum(total)
-        return [np.packbits(gone[b - t : b]).tobytes() for t, b in zip(total, stops, strict=True)]
+        return gone
+
+    def hot_windows(batch: Batch, heard: list[Heard]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The window starts of runs whose anchor has very many kinds; of the distinct names (two hashes) both, the first start, and each start's name."""
+        runs, _, _, _, chosen = told(batch, heard, 3)
+        size = runs.last[chosen] - runs.first[chosen] + 1
+        start = np.unique(np.repeat(runs.first[chosen] - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))
+        key, other = (hash_spans(batch.buf, start, start + length, seed) for seed in (0, 1))
+        order = np.lexsort((start, other, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(key[order]) != 0) | (np.diff(other[order]) != 0)
+        name = np.empty(len(order), np.int64)
+        name[order] = np.cumsum(new) - 1
+        first = order[new]
+        return start, key[first], other[first], start[first], name
+
+    def send_hot(batch: Batch, heard: list[Heard]) -> Message:
+        _, key, other, first, _ = hot_windows(batch, heard)
+        doc = np.searchsorted(batch.offsets, first, "right") - 1
+        return Message(key, [other.view(np.int64), batch.ids[doc], first - batch.offsets[doc]])
+
+    def meet_hot(m: Message) -> np.ndarray:
+        """Of each window whether one of the same name, of 128 bits, starts earlier."""
+        other, ids, at = m.columns
+        order = np.lexsort((np.arange(len(m.key)), at, ids, other, m.key))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(m.key[order]) != 0) | (np.diff(other[order]) != 0)
+        out = np.empty(len(order), bool)
+        out[order] = ~new
+        return out
 
-    def finish(batch: Batch, heard: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        runs, first, kind, state, chosen = mixed(batch, heard)
+    def finish(batch: Batch, heard: list[Heard]) -> Iterator[pa.RecordBatch]:
+        runs, first, kind, state, chosen = told(batch, heard, 2)
         is_first = np.zeros(len(runs.first), bool)
         is_first[first] = True
         whole = ~is_first | (state[kind] == 1)  # every window of the run starts earlier
         step = np.zeros(len(batch.buf) + 1, np.int64)
         np.add.at(step, runs.first[whole], 1)
         np.add.at(step, runs.last[whole] + length, -1)
-        starts = []
-        for p, where in by_part(runs.anchor[chosen], parts):
-            c = chosen[where]
-            size = runs.last[c] - runs.first[c] + length
-            bits = np.unpackbits(np.frombuffer(heard[parts + p], np.uint8), count=int(size.sum())).astype(bool)
-            at = np.arange(len(bits)) + np.repeat(runs.first[c] - (np.cumsum(size) - size), size)
-            starts.append(at[bits])
+        size = runs.last[chosen] - runs.first[chosen] + length
+        at = np.arange(int(size.sum())) + np.repeat(runs.first[chosen] - (np.cumsum(size) - size), size)
+        starts = [at[heard[1].values.astype(bool)]]
+        if len(heard) > 2:
+            window, _, _, once, name = hot_windows(batch, heard)
+            starts.append(window[heard[2].values.astype(bool)[name] | (window != once[name])])
         removed = (np.cumsum(step[:-1]) > 0) | covered(np.concatenate([np.zeros(0, np.int64), *starts]), length, len(batch.buf))
         rows, texts = [], []
         for d in range(len(batch.ids)):
@@ -301,8 +309,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False)
         yield pa.RecordBatch.from_arrays(columns, names)
 
     first = corpus.ask(send_kinds, meet_kinds)
-    second = corpus.ask(send_segments, meet_segments, first)
-    return corpus.finish(first.union(second), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    rounds = [first, corpus.ask(send_segments, meet_segments, [first], of_bytes=True)]
+    if not first.where("most = 3").isEmpty():
+        rounds.append(corpus.ask(send_hot, meet_hot, rounds))
+    return corpus.finish(rounds, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 
