@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.llm import decontamination, exchange, line_dedup, quality_classifier, quality_rules, source_mix, surrogates, token_files
 
@@ -202,19 +203,45 @@ def test_source_mix(spark, docs):
     sizes = source_mix.targets([100, 10, 5], [5, 2, 1], 115)
     assert sizes == pytest.approx([71.875 + 28.125 * 0, 28.75, 14.375]) or sum(sizes) == pytest.approx(115)
     assert source_mix.targets([1000, 1, 1], [5, 2, 1], 1002) == pytest.approx([996, 3, 3])
-    got = source_mix.plan(docs).select("doc_id", "source", "text", "_size", "_source_size", "_target", "_copies", "n_words").collect()
+    got = source_mix.plan(docs).select("row.*", "size", "source_size", "target", "copies").collect()
     assert len(got) == len(corpus())
     for s in ("a", "b", "z", None):
         own = [r for r in got if r.source == s]
-        assert own[0]._source_size == sum(len(re.findall(WORD, r.text or "")) for r in own) and all(r._copies <= 3 for r in own)
-        taken = sum(r._size * r._copies for r in own)
-        assert abs(taken - own[0]._target) <= max(r._size for r in own)
-    again = source_mix.plan(docs.repartition(7)).select("doc_id", "_copies").collect()
-    assert sorted((str(r.doc_id), r._copies) for r in again) == sorted((str(r.doc_id), r._copies) for r in got)
+        assert own[0].source_size == sum(len(re.findall(WORD, r.text or "")) for r in own) and all(r.copies <= 3 for r in own)
+        taken = sum(r.size * r.copies for r in own)
+        assert abs(taken - own[0].target) <= max(r.size for r in own)
+    again = source_mix.plan(docs.repartition(7)).select("row.doc_id", "copies").collect()
+    assert sorted((str(r.doc_id), r.copies) for r in again) == sorted((str(r.doc_id), r.copies) for r in got)
     assert source_mix.plan(docs.limit(0)).count() == 0
     assert source_mix.mixed(docs).columns == docs.columns
 
 
+def test_source_mix_of_null_ids_and_copies(spark):
+    # rows that agree in everything are still taken one by one; the caller's columns keep their names
+    rows = [(None, "w " * 10, "a", 3, "p") for _ in range(150)] + [(None, f"v{i} " + "w " * 9, "a", 4, "q") for i in range(50)] + [(i, "x " * 7, "b", 5, "r") for i in range(300)] + [(1, "x " * 7, "b", 5, "r"), (2, None, None, 6, None), (3, "", "", 7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, copies string").repartition(3)
+    got = source_mix.plan(df).select("row.source", F.col("size").alias("n"), "target", "copies").collect()
+    for s in ("a", "b", None, ""):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.n * r.copies for r in own) - own[0].target) <= 10, s
+    out = source_mix.mixed(df)
+    assert out.columns == df.columns and {r.size for r in out.collect()} == {3, 4, 5, 6, 7}
+    # ranks by md5, whole copies first: as a plain loop takes them
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randint(0, 30), rng.choice("abc")) for i in range(400)]
+    got = {r.doc_id: (r.n, r.copies) for r in source_mix.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), (5, 1, 1)).select("row.doc_id", F.col("size").alias("n"), "copies").collect()}
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    goal = dict(zip("abc", source_mix.targets(list(sizes.values()), [5, 1, 1], sum(sizes.values()))))
+    for s in "abc":
+        base, held = int(goal[s] / sizes[s] + 1e-9), 0
+        rest = goal[s] - base * sizes[s]
+        for i, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(f"{r[0]}|17".encode()).hexdigest()):
+            n = len(t.split())
+            more = rest > 0 and held + n / 2 <= rest
+            held += n
+            assert got[i] == (n, base + more) or n == 0, (i, got[i], base, more)
+
+
 def test_flow_routes_overlaps():
     # the shared pattern must feed the second source, since the first has its own
     assert source_mix.flow([10, 10], [[0], [0, 1]], [10, 10]) == pytest.approx([10, 10])

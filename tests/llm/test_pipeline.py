@@ -17,7 +17,7 @@ def test_stages_in_turn(spark):
             groups = {r.doc_id: r.component_id for r in jaccard_join.groups(docs).collect()}
             assert sorted(now) == sorted(set(groups.values()))
         if k == 3:
-            want = {r.doc_id: r._copies if r._size else 1 for r in source_mix.plan(docs).collect()}
+            want = {r.doc_id: r.copies if r.size else 1 for r in source_mix.plan(docs).select("row.doc_id", "size", "copies").collect()}
             assert {d: now.count(d) for d in want} == want
         docs, kept = out, set(now)
     last = corpus_pipeline.tokens(spark, docs, SF).collect()

@@ -36,7 +36,7 @@ def op4_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_chunks(_table(spark, sf_dir, "documents"), anywhere=True)
+    return line_dedup.remove_chunks(_table(spark, sf_dir, "documents"), anywhere=True).drop("n_chunks")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +50,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = source_mix.plan(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    found = source_mix.plan(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

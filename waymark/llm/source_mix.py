@@ -7,6 +7,8 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.tables import stored
+
 #: Membership patterns that the driver solves for at most; a corpus with more needs coarser sources.
 MAX_PATTERNS = 100_000
 MOST_COPIES = 3
@@ -82,29 +84,34 @@ def flow(sizes: list[float], members: list[list[int]], quotas: list[float], most
     return [sum(g.values()) for g in gives]
 
 
-def _with_keys(docs: DataFrame, member: Column, seed: int) -> DataFrame:
-    text = F.col("text").cast("string")
-    hashed = F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed))
-    out = docs.withColumn("_size", F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long"))
-    out = out.withColumn("_member", member).withColumn("_bucket", F.pmod(hashed, F.lit(_BUCKETS)).cast("int"))
-    return out.withColumn("_rank", F.struct(F.col("_bucket").alias("b"), hashed.alias("u"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.col("_size").alias("s")))
+def _with_keys(docs: DataFrame, member: Column, seed: int, carry: list[str]) -> DataFrame:
+    """row (the carried columns), size, member, bucket and rank, counted once and stored; rows that agree in all but their place have ranks of their own."""
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
+    hashed = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))).cast("binary"))
+    hashed = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).otherwise(hashed)
+    rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row") if carry else F.lit(None).alias("row"), size.alias("size"), member.alias("member"), hashed.alias("u"))
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    held = stored(rows).select("row", "size", "member", F.conv(F.substring("u", 1, 3), 16, 10).cast("int").alias("bucket"), F.struct("u", place.alias("at")).alias("rank"))
+    return held
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 17, member: Column | None = None) -> DataFrame:
-    """docs with _size, _source_size, _target, _copies: how often the mix takes each document.
+def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 17, member: Column | None = None, carry: list[str] | None = None) -> DataFrame:
+    """row (a struct of the caller's columns, or of those to carry), size, source_size, target and copies: how often the mix takes each document.
 
     member: the array of sources a document belongs to, [source] by default.
     Sources in code point order, null last, weigh `weights`, repeating, and
     share the words of all documents; targets stop at MOST_COPIES times the
     words of their source. A pattern's documents are all taken the whole number
-    of times the flow asks for; of the rest, as many more in seeded order as
-    come nearest. Rows with the same doc_id and size are decided alike; a null
-    or empty text has size 0; an empty table gives no rows.
+    of times the flow asks for; of the rest, as many more in the order of
+    md5(doc_id|seed) as come nearest. A null doc_id is ordered by its text, and
+    rows that agree in that too by their place in the stored table, so some of
+    them can be taken; which ones makes no difference. A null or empty text has
+    size 0; a text of any length is counted whole; an empty table gives no rows.
     """
-    keyed = _with_keys(docs, F.array(F.col("source").cast("string")) if member is None else F.array_sort(F.array_distinct(member)), seed)
-    narrow = keyed.select("_member", "_bucket", "_rank", "_size")
-    by_bucket = narrow.groupBy("_member", "_bucket").agg(F.sum("_size").alias("n")).persist()
-    patterns = [(tuple(r["_member"]), r["n"]) for r in by_bucket.groupBy("_member").agg(F.sum("n").alias("n")).limit(MAX_PATTERNS + 1).collect()]
+    member = F.array(F.col("source").cast("string")) if member is None else F.array_sort(F.array_distinct(member))
+    keyed = _with_keys(docs, member, seed, docs.columns if carry is None else carry)
+    by_bucket = stored(keyed.groupBy("member", "bucket").agg(F.sum("size").alias("n")))
+    patterns = [(tuple(r["member"]), r["n"]) for r in by_bucket.groupBy("member").agg(F.sum("n").alias("n")).limit(MAX_PATTERNS + 1).collect()]
     if len(patterns) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     order = lambda s: (s is None, (s or "").encode())
@@ -112,30 +119,50 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 17
     sources = sorted({s for m, _ in patterns for s in m}, key=order)
     at = {s: k for k, s in enumerate(sources)}
     members = [[at[s] for s in m] for m, _ in patterns]
-    size = [sum(n for m, (_, n) in zip(members, patterns, strict=True) if k in m) for k in range(len(sources))]
+    size = [0] * len(sources)
+    for m, (_, n) in zip(members, patterns, strict=True):
+        for k in m:
+            size[k] += n
     goal = targets(size, [weights[k % len(weights)] for k in range(len(sources))], sum(n for _, n in patterns))
     given = flow([n for _, n in patterns], members, goal)
-    rows = [(list(m), min(MOST_COPIES, int(g / n + 1e-9)) if n else 0, max(0.0, g - n * min(MOST_COPIES, int(g / n + 1e-9))) if n else 0.0) for (m, n), g in zip(patterns, given, strict=True)]
+    whole = [min(MOST_COPIES, int(g / n + 1e-9)) if n else 0 for (_, n), g in zip(patterns, given, strict=True)]
+    rows = [(list(m), w, max(0.0, g - n * w)) for (m, n), w, g in zip(patterns, whole, given, strict=True)]
     spark = docs.sparkSession
-    wanted = spark.createDataFrame(rows, "_member array<string>, _base int, _rest double")
-    running = Window.partitionBy("_member").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cut = by_bucket.withColumn("_to", F.sum("n").over(running)).join(F.broadcast(wanted), "_member")
-    cut = cut.where("_to - n <= _rest and _rest < _to").select("_member", "_bucket", (F.col("_rest") - F.col("_to") + F.col("n")).alias("_room"))
-    # one bucket of each pattern is looked at row by row
-    within = Window.partitionBy("_member").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
-    last = narrow.join(F.broadcast(cut), ["_member", "_bucket"]).withColumn("_to", F.sum("_size").over(within))
-    last = last.where("_to - _size / 2 <= _room").groupBy("_member").agg(F.max("_rank").alias("_last"))
-    edge = wanted.join(cut.select("_member", "_bucket"), "_member", "left").join(last, "_member", "left")
+    wanted = spark.createDataFrame(rows, "member array<string>, base int, rest double")
+    running = Window.partitionBy("member").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # 4,096 rows a pattern
+    cut = by_bucket.withColumn("upto", F.sum("n").over(running)).join(F.broadcast(wanted), "member")
+    cut = cut.where("upto - n <= rest and rest < upto").select("member", "bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("room"))
+    last = _last_taken(keyed, cut)
+    edge = wanted.join(cut.select("member", "bucket"), "member", "left").join(last, "member", "left")
     decided = edge.collect()  # one row a pattern
-    by_bucket.unpersist()
     table = spark.createDataFrame(
-        [(r["_member"], r["_base"], r["_bucket"] if r["_bucket"] is not None else (_BUCKETS if r["_rest"] > 0 else -1), r["_last"], *_named(r["_member"], at, size, goal)) for r in decided],
-        "_member array<string>, _base int, _edge int, _last struct<b: int, u: bigint, d: bigint, s: bigint>, _source_size bigint, _target double",
+        [(r["member"], r["base"], r["bucket"] if r["bucket"] is not None else (_BUCKETS if r["rest"] > 0 else -1), r["last"], *_named(r["member"], at, size, goal)) for r in decided],
+        "member array<string>, base int, edge int, last struct<u: string, at: struct<f: string, i: bigint>>, source_size bigint, target double",
     )
-    out = keyed.join(F.broadcast(table), "_member")
-    more = F.when(F.col("_bucket") < F.col("_edge"), 1).when((F.col("_bucket") == F.col("_edge")) & (F.col("_rank") <= F.col("_last")), 1).otherwise(0)
-    copies = F.least(F.lit(MOST_COPIES), F.col("_base") + F.coalesce(more, F.lit(0)))
-    return out.withColumn("_copies", copies).drop("_member", "_base", "_edge", "_last", "_bucket", "_rank")
+    out = keyed.join(F.broadcast(table), "member")
+    more = F.when(F.col("bucket") < F.col("edge"), 1).when((F.col("bucket") == F.col("edge")) & (F.col("rank") <= F.col("last")), 1).otherwise(0)
+    copies = F.least(F.lit(MOST_COPIES), F.col("base") + F.coalesce(more, F.lit(0)))
+    return out.select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
+def _last_taken(keyed: DataFrame, cut: DataFrame) -> DataFrame:
+    """(member, last): in each pattern's cut bucket the rank up to which documents fit the room; half of the last one must.
+
+    Rows of the bucket are added up by a finer bucket of their rank first: the
+    stored file and a thousand rows of it. So a bucket with a great part of the
+    corpus, as of one doc_id or none, is nobody's task.
+    """
+    rows = keyed.join(F.broadcast(cut), ["member", "bucket"]).withColumn("part", F.struct(F.col("rank.u").alias("u"), F.col("rank.at.f").alias("f"), F.floor(F.col("rank.at.i") / 1000).alias("i")))
+    parts = rows.groupBy("member", "part").agg(F.sum("size").alias("n"), F.max("room").alias("room"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("member").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("before", before)
+    near = parts.where("before <= room and before + n > room").select("member", "part", "before")  # the one that the room ends in
+    full = parts.where("before + n <= room").groupBy("member").agg(F.max("part").alias("part"))
+    open_ = rows.join(F.broadcast(near), ["member", "part"])  # one row a pattern
+    upto = F.sum("size").over(Window.partitionBy("member").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    fits = open_.withColumn("upto", upto).where("upto - size / 2 <= room").groupBy("member").agg(F.max("rank").alias("r"))
+    ends = rows.join(F.broadcast(full), ["member", "part"]).groupBy("member").agg(F.max("rank").alias("r"))
+    return fits.union(ends).groupBy("member").agg(F.max("r").alias("last"))
 
 
 def _named(member: list[str], at: dict, size: list[int], goal: list[float]) -> tuple[int, float]:
@@ -144,7 +171,7 @@ def _named(member: list[str], at: dict, size: list[int], goal: list[float]) -> t
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 17) -> DataFrame:
-    """The mix itself: each row of docs as often as the plan takes it, columns as they are. Documents without words are kept once."""
-    copies = F.when(F.col("_size") == 0, 1).otherwise(F.col("_copies"))
-    out = plan(docs, weights, seed).withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(F.col("_n") <= copies)
-    return out.select(*docs.columns)
+    """The mix itself: each row of docs as often as the plan takes it, columns as they are, whatever their names. Documents without words are kept once."""
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
+    out = plan(docs, weights, seed).where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies)).alias("n"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

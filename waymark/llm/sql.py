@@ -57,5 +57,42 @@ FROM kept
 """
 
 
+LINES = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+f AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '[^\x20\x09-\x0D]')) AS f FROM d),
+ends AS (SELECT doc_id, l, unnest(f[1 : len(f) - 1]) AS a, unnest(f[2 :]) AS b FROM f WHERE len(f) > 1),
+p AS (SELECT doc_id, a, b, md5(array_to_string(l[a : b], chr(10))) AS x FROM ends),
+first AS (SELECT doc_id, a, b, first_value(doc_id) OVER w AS fd, first_value(b) OVER w AS fb FROM p WINDOW w AS (PARTITION BY x ORDER BY doc_id, a)),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(a, b + 1)))) AS g FROM first WHERE fd <> doc_id OR fb < a GROUP BY doc_id),
+kept AS (SELECT d.doc_id, text, l, coalesce(len(g), 0) AS n, map_from_entries([(j, true) FOR j IN coalesce(g, [])]) AS g FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(n AS BIGINT) AS n_removed,
+  sha256(CASE WHEN n = 0 THEN text ELSE coalesce(array_to_string([l[j] FOR j IN range(1, len(l) + 1) IF g[j] IS NULL], chr(10)), '') END) AS kept_sha256 FROM kept
+"""
+
+SUFFIXES = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(length(hex(encode(coalesce(text, '')))) // 2 AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS r FROM (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS x FROM w)),
+g AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM k WHERE r > 1),
+s AS (SELECT doc_id, sum(least(100, coalesce(nx - i, 100))) AS removed, count(*) FILTER (nx IS NULL OR nx > i + 100) AS spans FROM g GROUP BY doc_id),
+pieces AS (SELECT doc_id, 0 AS a, min(i) AS b FROM g GROUP BY doc_id UNION ALL SELECT g.doc_id, i + 100, coalesce(nx, n) FROM g JOIN d ON d.doc_id = g.doc_id WHERE nx IS NULL OR nx > i + 100),
+kept AS (SELECT p.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM pieces p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+MIX = rf"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_SPACED}')), 0) AS BIGINT) AS size, md5(doc_id || '|17') AS u FROM documents),
+src AS (SELECT source, sum(size) AS s, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+ord AS (SELECT *, 3.0::DOUBLE * s / w AS top, sum(s) OVER () AS total, row_number() OVER (ORDER BY 3.0::DOUBLE * s / w, source) AS k FROM src),
+lev AS (SELECT *, (total - 3 * coalesce(sum(s) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ord),
+cap AS (SELECT min(k) AS k FROM lev WHERE level <= top),
+goal AS (SELECT source, CAST(s AS BIGINT) AS s, CASE WHEN k < (SELECT k FROM cap) THEN 3.0::DOUBLE * s ELSE w * (SELECT level FROM lev WHERE k = (SELECT k FROM cap)) END AS target FROM lev),
+base AS (SELECT *, CASE WHEN s = 0 THEN 0 ELSE least(3, CAST(floor(target / s + 1e-9) AS BIGINT)) END AS b FROM goal),
+run AS (SELECT d.*, s, target, b, greatest(0, target - s * b) AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN base ON base.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, s AS source_size, target, CAST(size * least(3, b + CASE WHEN rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM run
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": JACCARD, "op6_benchmark_decontamination": DECONTAMINATION, "op9_substring_dedup": SUBSTRINGS}
+    return {"op2_ngram_jaccard_join": JACCARD, "op5_line_dedup": LINES, "op6_benchmark_decontamination": DECONTAMINATION, "op8_source_mix": MIX, "op9_substring_dedup": SUBSTRINGS, "op10_suffix_array_dedup": SUFFIXES}
