@@ -197,6 +197,25 @@ def test_quality_classifier(spark):
     assert np.mean([r.predicted == (r.doc_id % 7 != 0) for r in test]) > 0.95
     none = quality_classifier.fit(df, labels.limit(0))
     assert quality_classifier.score(df, none).count() == 903
+    # negatives are never read: positives alone give the same model
+    only = quality_classifier.fit(df, labels.where("quality = 1"))
+    assert np.mean([r.predicted == (r.doc_id % 7 != 0) for r in quality_classifier.score(df, only).collect() if r.held_out and r.doc_id is not None and r.doc_id < 900]) > 0.95
+    assert quality_classifier.score(df.limit(0), only).count() == 0 and quality_classifier.fit(df.limit(0), labels) is not None
+    twice = quality_classifier.accepted(df.union(df), only)
+    assert twice.columns == df.columns and twice.count() == 2 * quality_classifier.accepted(df, only).count()
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.9])
+def test_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(5)
+    positive = rng.normal(1.5, 1, (1500, 4))
+    n = int(4000 * share)
+    unlabelled = np.concatenate((rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (4000 - n, 4))))
+    got = quality_classifier.estimated_prior(positive, unlabelled, np.full(4000, 1 / 4000), np.random.default_rng(1))
+    assert abs(got - share) < 0.08, got
+    test = np.concatenate((rng.normal(1.5, 1, (500, 4)), rng.normal(-1.5, 1, (500, 4))))
+    model = quality_classifier.fit_features(positive, unlabelled)
+    assert ((model.score(test) >= 0.5) == (np.arange(1000) < 500)).mean() > 0.9
 
 
 def test_source_mix(spark, docs):
