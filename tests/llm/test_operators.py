@@ -306,6 +306,27 @@ def test_surrogates_of_one_entity_are_one(spark, monkeypatch):
     assert surrogates.splits(spark.createDataFrame(found, "type string, entity string, surrogate string")).count() == 1
 
 
+def test_surrogates_by_context_and_script(spark):
+    texts = ["Name: Wolfgang Schmidt\nYesterday Wolfgang Schmidt left.", "My name is Priya Patel, said Priya Patel.", "Signed by Zhang Wei", "姓名：张伟。后来 张伟 来了", "ФИО: Олег Сидоров", "Host 2001:db8:85a3::8a2e:370:7334 and 2001:0db8:85a3:0000:0000:8a2e:0370:7334 at 12:30:45", "IBAN DE89 3704 0044 0532 0130 00, GB82WEST12345698765432, DE00370400440532013000", "A time 10:20:30 and a ratio 3:4:5, std::vector, named after it"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (50, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, found string").repartition(3)
+    found = surrogates.replace(df, "k")
+    assert found.columns == ["doc_id", "text", "n_entities", "types"] and found.count() == len(rows)
+    got = {r.doc_id: r for r in found.collect()}
+    for i, names in {0: ["Wolfgang", "Schmidt"], 1: ["Priya", "Patel"], 2: ["Zhang Wei"], 3: ["张伟"], 4: ["Олег", "Сидоров"]}.items():
+        assert not any(x in got[i].text for x in names) and got[i].types == "name", got[i]
+    assert len({*re.findall(r"Name: (\w+ \w+)", got[0].text), *re.findall(r"Yesterday (\w+ \w+)", got[0].text)}) == 1
+    assert re.fullmatch(r"姓名：([\u4e00-\u9fa5]{2})。后来 \1 来了", got[3].text) and re.fullmatch(r"ФИО: [А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+ов", got[4].text)
+    one, two = re.search(r"Host (\S+) and (\S+) at 12:30:45", got[5].text).groups()
+    import ipaddress
+
+    assert ipaddress.ip_address(one) == ipaddress.ip_address(two) != ipaddress.ip_address("2001:db8:85a3::8a2e:370:7334") and len(two) == 39
+    valid = lambda x: surrogates._iban_check(x[:2], x[4:]) == x[2:4]
+    spaced, british, wrong = re.fullmatch(r"IBAN ([A-Z]{2}[\d ]+\d), (\w+), (\w+)", got[6].text).groups()
+    assert valid(spaced.replace(" ", "")) and valid(british) and not valid(wrong) and british.startswith("GB") and len(spaced) == 27
+    assert got[7].text == texts[7] and got[7].n_entities == 0
+
+
 def test_permutation_has_no_fixed_point():
     for size in (2, 3, 10, 97):
         image = [surrogates._next(b"k" * 32, "t", x, size) for x in range(size)]
