@@ -49,12 +49,14 @@ def _repeated(words: Column, n: int) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), count)
 
 
-def measures(docs: DataFrame) -> DataFrame:
+def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, lang, source with the base counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), n_lines (int, those with words) and the measures of STEPS (double).
 
     Words are `[^\\x20\\x09-\\x0D]+` of the whole text. Windows of 8 words are
-    compared by 64-bit hash. Null and empty texts have zero everywhere.
+    compared by 64-bit hash. Null and empty texts have zero everywhere; a text of
+    any length is measured whole. With carry the columns of docs are a struct, row.
     """
+    kept = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = F.translate(text, _SPACES, "")
     words = _let(F.btrim(text, F.lit(_SPACES)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+")))
@@ -62,6 +64,7 @@ def measures(docs: DataFrame) -> DataFrame:
     line_counts = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
     word_counts = _let(words, lambda w: F.struct(F.size(w).alias("n"), _repeated(w, 8).alias("repeat")))
     rows = docs.select(
+        *kept,
         "doc_id",
         "lang",
         "source",
@@ -72,7 +75,9 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("upper"),
         (F.length(text) - F.length(F.translate(text, "!?", ""))).alias("marks"),
     )
+    own = ["row"] if carry else []
     rows = rows.select(
+        *own,
         "doc_id",
         "lang",
         "source",
@@ -87,7 +92,7 @@ def measures(docs: DataFrame) -> DataFrame:
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return rows.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
+        *own, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
         share("n_symbols", "word_chars").alias("symbol_share"),
         share("upper", "word_chars").alias("shout_share"),
         share("n_repeat_words", "n_words").alias("repeat_share"),
@@ -127,15 +132,16 @@ def thresholds(rows: DataFrame, k: int = 400) -> DataFrame:
     return groups.select("lang", "source", *[toward("own", c, toward("by_lang", c, F.col(f"every.{c}"))).alias(f"max_{c}") for c in STEPS])
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: measures, base_failed and kept.
+def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """One row per row of docs: measures, base_failed and kept; with carry also row, the columns of docs as a struct.
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows.
     kept: not base_failed, and no measure above its group's threshold. A group
     without a document of 20 words has only base failures. Null lang or source
-    is a group of its own. Clashing extra columns are not carried.
+    is a group of its own; repeated rows are judged each. Without carry no other
+    column is read, whatever its name. An empty table gives no rows.
     """
-    rows = stored(measures(docs))
+    rows = stored(measures(docs, carry))
     limits = thresholds(rows).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     out = rows.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
@@ -146,6 +152,6 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """docs without those that the rules reject; rows are matched by doc_id, and all rows of a doc_id go if one is rejected."""
-    gone = judge(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """docs without the rows that the rules reject, columns as they are."""
+    found = judge(docs, carry=True).where("kept")
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])

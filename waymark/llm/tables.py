@@ -62,17 +62,20 @@ def forget(*tables: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _aside(columns: list[str], own: tuple[str, ...]) -> list[str]:
+    number = iter(range(len(columns)))
+    return [c if c in own else f"_carried_{next(number)}" for c in columns]
+
+
 def set_aside(df: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list[str]]:
     """df with all columns but its own under names that clash with nothing, and those names."""
-    extra = [c for c in df.columns if c not in own]
-    names = [f"_carried_{k}" for k in range(len(extra))]
-    return df.withColumnsRenamed(dict(zip(extra, names, strict=True))), names
+    names = _aside(df.columns, own)
+    return df.toDF(*names), [c for c in names if c not in own]
 
 
 def put_back(df: DataFrame, like: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """The columns of `like` under their names again, in their order."""
-    extra = [c for c in like.columns if c not in own]
-    return df.withColumnsRenamed({f"_carried_{k}": c for k, c in enumerate(extra)}).select(*like.columns)
+    return df.select(*_aside(like.columns, own)).toDF(*like.columns)
 
 
 def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | object) -> DataFrame:
