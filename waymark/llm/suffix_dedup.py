@@ -154,13 +154,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False)
     strings are judged on the input. A window's anchor is its least hashed
     32-byte gram, so equal windows have equal anchors at equal places and meet
     in one part of the hash space, in runs of window starts that share an
-    anchor. Runs with equal bytes (by two hashes of 64 bits) are settled by their order alone. Where
+    anchor. Runs with equal bytes (by a name of 96 bits) are settled by their order alone. Where
     different runs share an anchor, the first of each kind goes into a suffix
     array with the others in corpus order; its longest-previous-factor array,
     from previous and next smaller positions in suffix order, tells which
     windows start earlier. An anchor with more than MANY_KINDS kinds, as the
     end of a line that a great part of the corpus has, would make one task; its
-    windows are spread by two hashes of 64 bits of their bytes and meet there.
+    windows are spread by a name of 96 bits of their bytes and meet there.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256, and kept (binary) with keep_text. A null text is empty; a
@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False)
         ids, at = place(batch, runs, first)
         note = pack(runs.first.astype(np.uint64), (runs.last - runs.first).astype(np.int32), (runs.at - runs.first).astype(np.int32), kind.astype(np.int32))
         # these hashes are not in order, so only the anchors gain from differences
-        return Message(runs.anchor[first], [runs.whole[first].view(np.int64), runs.other[first].view(np.int64), ids, at.astype(np.int64)]), note
+        return Message(runs.anchor[first], [runs.whole[first].view(np.int64), (runs.other[first] >> np.uint64(32)).astype(np.uint32), ids, at.astype(np.int64)]), note
 
     def meet_kinds(m: Message) -> np.ndarray:
         """Of each kind: 0 nothing to do, 1 an earlier run has the same bytes, 2 the first of several kinds, 3 the first of very many."""
@@ -268,10 +268,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False)
     def send_hot(batch: Batch, heard: list[Heard]) -> Message:
         _, key, other, first, _ = hot_windows(batch, heard)
         doc = np.searchsorted(batch.offsets, first, "right") - 1
-        return Message(key, [other.view(np.int64), batch.ids[doc], first - batch.offsets[doc]])
+        return Message(key, [(other >> np.uint64(32)).astype(np.uint32), batch.ids[doc], first - batch.offsets[doc]])
 
     def meet_hot(m: Message) -> np.ndarray:
-        """Of each window whether one of the same name, of 128 bits, starts earlier."""
+        """Of each window whether one of the same name, of 96 bits, starts earlier."""
         other, ids, at = m.columns
         order = np.lexsort((np.arange(len(m.key)), at, ids, other, m.key))
         new = np.ones(len(order), bool)
