@@ -14,6 +14,8 @@ from waymark.llm.exchange import Batch, Batches, Heard, Message, id_array, pack,
 from waymark.llm.text import SLICE_BYTES, covered, hash_spans, mix, rolling
 
 _GRAM = 32
+#: Anchors need not be told apart for certain: 48 bits of their hashes are sent.
+_ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 #: Kinds of runs with one anchor that one suffix array takes; windows around commoner anchors meet one by one.
 MANY_KINDS = 4096
 #: A byte that UTF-8 never has: it ends each segment in a suffix array.
@@ -141,7 +143,7 @@ def _runs(batch: Batch, length: int) -> _Runs:
         b = np.append(a[1:], len(start)) - 1
         place = start[a] - at[a] - lo
         whole, other = (hash_spans(batch.buf, start[a], start[b] + length, seed) ^ mix((place + width).astype(np.uint64)) for seed in (0, 1))
-        found.append((start[a], start[b], at[a] + lo, doc[a], mix(grams[at[a]]), whole, other))  # mixed again: anchors are small hashes
+        found.append((start[a], start[b], at[a] + lo, doc[a], mix(grams[at[a]]) & _ANCHOR_BITS, whole, other))  # mixed again: anchors are small hashes
     if not found:
         return _Runs(*(np.zeros(0, t) for t in (*[np.int64] * 4, *[np.uint64] * 3)))
     return _Runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
