@@ -7,7 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.tables import forget, in_arrow, put_back, set_aside, stored
@@ -21,6 +21,8 @@ _BAND = 1.4
 _TILE = 4096
 #: Bytes of shingles that are compared in one piece.
 _TILE_BYTES = 8 << 20
+#: Blocks of a cluster that is compared as a whole, at most.
+_WHOLE = 4
 #: Candidates of one leader that are compared in one piece.
 _FANOUT = 2000
 #: Rows of candidates (some bytes each) that are broadcast to the texts; more are joined by a shuffle.
@@ -203,17 +205,22 @@ def _arrays(texts: DataFrame, classes: DataFrame, ids: DataFrame, words: int) ->
     return rows.transform(in_arrow, out, "id long, shingles binary").dropDuplicates(["id"])
 
 
-def _matching(tiles: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, id, root) of the members (key, id, component, n, bits) of tiles that some member of another component may link to, by bitmap.
+def _in_blocks(rows: DataFrame, key: str, weight: Column) -> DataFrame:
+    """rows (key, id, n, …) with (i, j), the pairs of blocks that each takes part in: blocks have _TILE rows and _TILE_BYTES of the weight at most."""
+    size = rows.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / _TILE), F.ceil(F.sum(weight) / _TILE_BYTES)).cast("int").alias("blocks"))
+    rows = rows.join(size, key).withColumn("r", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("r", "s"), "j": F.greatest("r", "s")})
+
+
+def _matching(rows: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, id, root) of the rows (key, id, component, n) of tiles that some row of another component may link to, by the bitmaps in signatures (id, bits).
 
     root is the least member that the tile's allowed pairs connect id with.
     Large tiles are compared in blocks, each pair of blocks apart. A row for
     each member goes in and one at most comes out, however many may link.
     """
-    size = tiles.groupBy("key").agg(F.ceil(F.count("*") / _TILE).cast("int").alias("blocks"))
-    rows = tiles.join(size, "key").withColumn("r", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "id", "component", "n", "bits")
+    rows = _in_blocks(rows, "key", F.col("n") / 4).join(signatures, "id").select("key", "i", "j", "id", "component", "n", "bits")
 
     def members(unit: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         unit.sort(key=lambda x: x[0])
@@ -236,36 +243,33 @@ def _matching(tiles: DataFrame, num: int, den: int) -> DataFrame:
     return stored(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, compare, "key long, id long, root long").distinct())
 
 
-def _pieces_of(near: DataFrame, classes: DataFrame) -> DataFrame:
-    """(tile, id): what _linked compares together.
+def _pieces_of(near: DataFrame, classes: DataFrame, weight: float) -> DataFrame:
+    """(tile, id): what is compared together next, of the rows of _matching.
 
-    Members that allowed pairs connect over all tiles make a cluster. One that
-    a task can hold is compared as a whole, so that a set goes to one place
-    instead of to all its tiles; a larger one is left in its tiles.
+    Members that allowed pairs connect over all tiles make a cluster. One of a
+    few blocks (weight: bytes for each shingle) is compared as a whole, so that
+    a set goes to one place instead of to all its tiles; a larger one is left in
+    its tiles.
     """
     ids = stored(near.select("id").distinct())
     cluster = _components(ids, near.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct())
-    weight = cluster.join(classes.select("id", "n"), "id").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    large = weight.where((F.col("m") > _TILE) | (F.col("n") * 8 > _TILE_BYTES)).select("component")
+    size = cluster.join(classes.select("id", "n"), "id").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    large = size.where((F.col("m") > _WHOLE * _TILE) | (F.col("n") * weight > _WHOLE * _TILE_BYTES)).select(F.col("component").alias("tile"))
     cluster = cluster.withColumnRenamed("component", "tile")
-    large = large.withColumnRenamed("component", "tile")
     own = cluster.join(large, "tile", "left_anti").select("tile", "id")
     apart = near.select(F.col("key").alias("tile"), "id").distinct().join(cluster.join(large, "tile", "left_semi").select("id"), "id", "left_semi").select("tile", "id")
     return stored(own.union(apart))
 
 
-def _linked(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that join the components of members (tile, id, component, n, bits, shingles) of each tile as all their links would.
+def _linked(members: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the components of members (tile, id, component, n) of each tile as all their links would; held has (id, bits, shingles).
 
     A task holds two blocks of a tile with their sorted shingles. Allowed pairs
     are decided by exact intersection, and pairs whose components a link of the
     same task has already joined are skipped, so that the links of a task are
     fewer than its members.
     """
-    weight = F.greatest(F.ceil(F.count("*") / _TILE), F.ceil(F.sum("n") * 8 / _TILE_BYTES)).cast("int")
-    rows = members.join(members.groupBy("tile").agg(weight.alias("blocks")), "tile").withColumn("r", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tile", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "id", "component", "n", "bits", "shingles")
+    rows = _in_blocks(members, "tile", F.col("n") * 8).join(held, "id").select("tile", "i", "j", "id", "component", "n", "bits", "shingles")
 
     def links(unit: list[tuple]) -> list[tuple[int, int]]:
         ids, comp, n = (np.array([x[k] for x in unit], np.int64) for k in range(3))
@@ -358,9 +362,9 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            rows = [(len(s), set_id(s, seed), _bitmap(s)) for _, s in shingle_sets(rb.column(1), words)]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([rb.column(0), *columns, rb.column(2)], ["doc_id", "n", "id", "bits", "text_hash"])
+            rows = [(len(s), set_id(s, seed), m := _bitmap(s), _bits_of([m], _BITS // 8).tobytes()) for _, s in shingle_sets(rb.column(1), words)]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([rb.column(0), *columns, rb.column(2)], ["doc_id", "n", "id", "bits", "short", "text_hash"])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -388,9 +392,9 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key).filter(other), pa.array(lead).filter(other), pa.array(ids).filter(other)], ["key", "leader", "id"])
 
     for seed in range(8):  # noqa: B007 - describe and tile name sets with it
-        sets = stored(texts.transform(in_arrow, describe, "doc_id long, n long, id long, bits binary, text_hash long"))
+        sets = stored(texts.transform(in_arrow, describe, "doc_id long, n long, id long, bits binary, short binary, text_hash long"))
         rows = F.min(F.struct("doc_id", "text_hash")).alias("row")
-        classes = sets.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), rows, F.max("n").alias("n"), F.max("bits").alias("bits"), ((F.min("bits") != F.max("bits")) | (F.min("n") != F.max("n"))).alias("mixed"))
+        classes = sets.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), rows, F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("short").alias("short"), ((F.min("bits") != F.max("bits")) | (F.min("n") != F.max("n"))).alias("mixed"))
         classes = stored(classes)
         if classes.where("mixed").isEmpty():
             break
@@ -406,13 +410,16 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     members = tiles.select("key", "id").union(tiles.select("key", "leader").distinct())
     labelled = members.join(label, "id")
     split_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_tiles = labelled.join(split_keys, "key", "left_semi").join(classes.select("id", "n", "bits"), "id")
-    near = _matching(open_tiles, num, den)
+    open_tiles = labelled.join(split_keys, "key", "left_semi").join(classes.select("id", "n"), "id").select("key", "id", "component", "n")
+    near = _matching(open_tiles, classes.select("id", F.col("short").alias("bits")), num, den)
     if not near.isEmpty():
-        pieces = _pieces_of(near, classes)
-        held = _arrays(texts, classes, pieces.select("id").distinct(), words)
-        held = pieces.join(label, "id").join(classes.select("id", "n", "bits"), "id").join(held, "id")
-        label = _components(nodes, links.union(_linked(held, num, den)))
+        # short signatures say little about long texts: what they leave is looked at with whole ones
+        pieces = _pieces_of(near, classes, 0.25).withColumnRenamed("tile", "key").join(label, "id").join(classes.select("id", "n"), "id")
+        near = _matching(pieces, classes.select("id", "bits"), num, den)
+        pieces = _pieces_of(near, classes, 8.0)
+        held = _arrays(texts, classes, pieces.select("id").distinct(), words).join(classes.select("id", "bits"), "id")
+        members = pieces.join(label, "id").join(classes.select("id", "n"), "id")
+        label = _components(nodes, links.union(_linked(members, held, num, den)))
     label = label.join(classes.select("id", "row"), "id")
     label = label.join(label.groupBy("component").agg(F.min("row").alias("first")), "component").select("id", "first")
     found = classes.select("id", "row").join(label, "id", "left").select("id", F.coalesce("first", "row").alias("first"))
