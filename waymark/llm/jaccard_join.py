@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -21,6 +21,8 @@ _BAND = 1.4
 _TILE = 4096
 #: Bytes of shingles that are compared in one piece.
 _TILE_BYTES = 8 << 20
+#: Bits of a fine signature for each shingle, at least.
+_FINE = 8
 #: Blocks of a cluster that is compared as a whole, at most.
 _WHOLE = 4
 #: Candidates of one leader that are compared in one piece.
@@ -52,9 +54,9 @@ def set_id(shingles: np.ndarray, seed: int = 0) -> int:
     return int(mix(np.array([own.sum(dtype=np.uint64) ^ np.uint64(len(shingles)), 0], np.uint64))[0] ^ np.bitwise_xor.reduce(mix(own ^ np.uint64(0xA5A5A5A5)), initial=np.uint64(0))) - (1 << 63)
 
 
-def _bitmap(shingles: np.ndarray) -> bytes:
-    """Each shingle flips one bit: two sets differ in at least as many shingles as their bitmaps do in bits."""
-    size = max(_BITS, 1 << max(0, len(shingles) - 1).bit_length())
+def _bitmap(shingles: np.ndarray, each: int = 1) -> bytes:
+    """Each shingle flips one bit of at least `each` times as many: two sets differ in at least as many shingles as their bitmaps do in bits."""
+    size = max(_BITS, 1 << max(0, each * len(shingles) - 1).bit_length())
     bits = (np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1).astype(np.uint8)
     return np.packbits(bits).tobytes()
 
@@ -191,18 +193,18 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int
     return stored(rows.drop("other").transform(in_arrow, compare, "a long, b long").distinct())
 
 
-def _arrays(texts: DataFrame, classes: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the classes with the ids: their ascending hashes as bytes."""
+def _made(texts: DataFrame, classes: DataFrame, ids: DataFrame, words: int, name: str, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(id, name) of the classes with the ids: what make gives for their ascending shingles."""
     needed = ids.join(classes.select("id", "row"), "id").select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))
     rows = texts.join(needed, ["doc_id", "text_hash"]).select("id", "text")
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             own = rb.column(0).to_pylist()
-            found = {own[i]: s.tobytes() for i, s in shingle_sets(rb.column(1), words)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "shingles"])
+            found = {own[i]: make(s) for i, s in shingle_sets(rb.column(1), words)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", name])
 
-    return rows.transform(in_arrow, out, "id long, shingles binary").dropDuplicates(["id"])
+    return rows.transform(in_arrow, out, f"id long, {name} binary").dropDuplicates(["id"])
 
 
 def _in_blocks(rows: DataFrame, key: str, weight: Column) -> DataFrame:
@@ -213,34 +215,43 @@ def _in_blocks(rows: DataFrame, key: str, weight: Column) -> DataFrame:
     return rows.withColumns({"i": F.least("r", "s"), "j": F.greatest("r", "s")})
 
 
-def _matching(rows: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+def _matching(rows: DataFrame, signatures: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(key, id, root) of the rows (key, id, component, n) of tiles that some row of another component may link to, by the bitmaps in signatures (id, bits).
 
     root is the least member that the tile's allowed pairs connect id with.
+    Rows with a peer are allowed pairs (id, peer), just those that connect.
     Large tiles are compared in blocks, each pair of blocks apart. A row for
-    each member goes in and one at most comes out, however many may link.
+    each member goes in and two at most come out, however many may link.
     """
     rows = _in_blocks(rows, "key", F.col("n") / 4).join(signatures, "id").select("key", "i", "j", "id", "component", "n", "bits")
 
-    def members(unit: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def members(unit: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         unit.sort(key=lambda x: x[0])
         ids, comp, n = (np.array([x[k] for x in unit], np.int64) for k in range(3))
         root = np.arange(len(unit))
         found = np.zeros(len(unit), bool)
+        pairs = [np.zeros((0, 2), np.int64)]
         for x, ys in _allowed_rows(comp, n, _bits_of([x[3] for x in unit]), num, den):
             found[x] = found[ys] = True
-            own = np.unique(np.append(root[ys], root[x]))
+            own, first = np.unique(np.append(root[x], root[ys]), return_index=True)
             if len(own) > 1:
+                pairs.append(np.stack((np.full(len(own), x), np.append(x, ys)[first]), 1))
                 root[np.isin(root, own)] = own[0]
-        return ids[found], ids[root[found]]
+        pairs = np.concatenate(pairs)
+        pairs = ids[pairs[pairs[:, 0] != pairs[:, 1]]]
+        at = np.flatnonzero(found)
+        none = np.full(len(at), -1)
+        return np.concatenate((ids[at], pairs.min(1))), np.concatenate((ids[root[at]], pairs.min(1))), np.concatenate((none, pairs.max(1))), np.arange(len(at) + len(pairs)) < len(at)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, _, _), unit in _units(batches, 3):
-            ids, root = members(unit)
+            ids, root, peer, plain = members(unit)
             if len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(ids), pa.array(root)], ["key", "id", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(ids), pa.array(root), pa.array(peer, pa.int64(), mask=plain)], ["key", "id", "root", "peer"])
 
-    return stored(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, compare, "key long, id long, root long").distinct())
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, compare, "key long, id long, root long, peer long")
+    found = stored(rows.distinct())
+    return found.where("peer is null").select("key", "id", "root"), found.where("peer is not null").select(F.col("id").alias("a"), F.col("peer").alias("b")).distinct()
 
 
 def _pieces_of(near: DataFrame, classes: DataFrame, weight: float) -> DataFrame:
@@ -411,15 +422,24 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     labelled = members.join(label, "id")
     split_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_tiles = labelled.join(split_keys, "key", "left_semi").join(classes.select("id", "n"), "id").select("key", "id", "component", "n")
-    near = _matching(open_tiles, classes.select("id", F.col("short").alias("bits")), num, den)
+    near, _ = _matching(open_tiles, classes.select("id", F.col("short").alias("bits")), num, den)
+    sized = classes.select("id", "n")
     if not near.isEmpty():
-        # short signatures say little about long texts: what they leave is looked at with whole ones
-        pieces = _pieces_of(near, classes, 0.25).withColumnRenamed("tile", "key").join(label, "id").join(classes.select("id", "n"), "id")
-        near = _matching(pieces, classes.select("id", "bits"), num, den)
-        pieces = _pieces_of(near, classes, 8.0)
-        held = _arrays(texts, classes, pieces.select("id").distinct(), words).join(classes.select("id", "bits"), "id")
-        members = pieces.join(label, "id").join(classes.select("id", "n"), "id")
-        label = _components(nodes, links.union(_linked(members, held, num, den)))
+        # short signatures say little about long texts: what they leave is looked at with fine ones, of some bits a shingle
+        pieces = _pieces_of(near, classes, 2.0).withColumnRenamed("tile", "key")
+        fine = stored(_made(texts, classes, pieces.select("id").distinct(), words, "bits", lambda s: _bitmap(s, _FINE)))
+        near, pairs = _matching(pieces.join(label, "id").join(sized, "id"), fine, num, den)
+        # most of what fine signatures allow links, so pairs that connect it are decided first
+        pairs = pairs.join(star, ["a", "b"], "left_anti")
+        links = links.union(_verified(texts, classes, stored(pairs), words, num, den, seed))
+        label = _components(nodes, links)
+        apart = near.select("key", "id").distinct().join(label, "id").join(sized, "id")
+        mixed = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        near, _ = _matching(apart.join(mixed, "key", "left_semi"), fine, num, den)
+        if not near.isEmpty():
+            pieces = _pieces_of(near, classes, 8.0)
+            held = _made(texts, classes, pieces.select("id").distinct(), words, "shingles", lambda s: s.tobytes()).join(fine, "id")
+            label = _components(nodes, links.union(_linked(pieces.join(label, "id").join(sized, "id"), held, num, den)))
     label = label.join(classes.select("id", "row"), "id")
     label = label.join(label.groupBy("component").agg(F.min("row").alias("first")), "component").select("id", "first")
     found = classes.select("id", "row").join(label, "id", "left").select("id", F.coalesce("first", "row").alias("first"))
