@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.tables import forget, in_arrow, put_back, set_aside, stored
+from waymark.llm.tables import forget, in_arrow, put_back, set_aside, stored, tidy
 from waymark.llm.text import LOWER, as_bytes, mix, rolling, slices, split
 
 #: Bits of a signature at least; it has as many as its set shingles, in powers of two, so that it tells long texts apart too.
@@ -170,8 +170,8 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int
     leaders = sized.select("a", F.col("a").alias("b"), "piece").distinct()
     needed = sized.union(leaders).join(classes.select(F.col("id").alias("b"), F.col("doc").alias("doc_id")), "b")
     needed = stored(needed)
-    needed = F.broadcast(needed) if needed.count() <= _BROADCAST_ROWS else needed
-    rows = texts.join(needed, "doc_id").select("a", "piece", "b", "text", (F.col("a") != F.col("b")).alias("other"))
+    side = F.broadcast(needed) if needed.count() <= _BROADCAST_ROWS else needed
+    rows = texts.join(side, "doc_id").select("a", "piece", "b", "text", (F.col("a") != F.col("b")).alias("other"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, own = None, None
@@ -190,7 +190,10 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int
             yield _pair_batch(found)
 
     rows = rows.repartition("a", "piece").sortWithinPartitions("a", "piece", "other")
-    return stored(rows.drop("other").transform(in_arrow, compare, "a long, b long").distinct())
+    found = stored(rows.drop("other").transform(in_arrow, compare, "a long, b long").distinct())
+    forget(needed)
+    tidy(found.sparkSession)
+    return found
 
 
 def _made(texts: DataFrame, classes: DataFrame, ids: DataFrame, words: int, name: str, make: Callable[[np.ndarray], bytes]) -> DataFrame:
@@ -251,6 +254,7 @@ def _matching(rows: DataFrame, signatures: DataFrame, num: int, den: int) -> tup
 
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, compare, "key long, id long, root long, peer long")
     found = stored(rows.distinct())
+    tidy(found.sparkSession)
     return found.where("peer is null").select("key", "id", "root"), found.where("peer is not null").select(F.col("id").alias("a"), F.col("peer").alias("b")).distinct()
 
 
@@ -413,6 +417,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
         raise RuntimeError("different sets share a name under every seed")
     entries = texts.where("doc_id is not null").transform(in_arrow, tile, "key long, id long").repartition("key").sortWithinPartitions("key", "id")
     tiles = stored(entries.transform(in_arrow, shared, "key long, leader long, id long"))
+    tidy(tiles.sparkSession)
     star = _allowed(tiles.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), classes, num, den)
     links = _verified(texts, classes, star, words, num, den, seed)
     nodes = links.select(F.col("a").alias("id")).union(links.select("b")).union(tiles.select("id")).union(tiles.select("leader")).distinct()
@@ -427,6 +432,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     if not near.isEmpty():
         # short signatures say little about long texts: what they leave is looked at with fine ones, of some bits a shingle
         pieces = _pieces_of(near, classes, 2.0).withColumnRenamed("tile", "key")
+        tidy(pieces.sparkSession)
         fine = stored(_made(texts, classes, pieces.select("id").distinct(), words, "bits", lambda s: _bitmap(s, _FINE)))
         near, pairs = _matching(pieces.join(label, "id").join(sized, "id"), fine, num, den)
         # most of what fine signatures allow links, so pairs that connect it are decided first

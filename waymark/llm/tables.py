@@ -49,6 +49,11 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of queries that have ended, after steps that shuffle much: it does so when the driver's garbage is collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 _paths: dict[int, str] = {}
 
 
