@@ -23,8 +23,8 @@ _TILE = 4096
 _TILE_BYTES = 8 << 20
 #: Bits of a fine signature for each shingle, at least.
 _FINE = 8
-#: Blocks of a cluster that is compared as a whole, at most.
-_WHOLE = 4
+#: Blocks of a cluster's band that is compared as a whole, at most.
+_WHOLE = 16
 #: Candidates of one leader that are compared in one piece.
 _FANOUT = 2000
 #: Rows of candidates (some bytes each) that are broadcast to the texts; more are joined by a shuffle.
@@ -218,15 +218,15 @@ def _in_blocks(rows: DataFrame, key: str, weight: Column) -> DataFrame:
     return rows.withColumns({"i": F.least("r", "s"), "j": F.greatest("r", "s")})
 
 
-def _matching(rows: DataFrame, signatures: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(key, id, root) of the rows (key, id, component, n) of tiles that some row of another component may link to, by the bitmaps in signatures (id, bits).
+def _matching(rows: DataFrame, signatures: DataFrame, weight: float, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(key, id, root) of the rows (key, id, component, n) of tiles that some row of another component may link to, by the bitmaps in signatures (id, bits; weight: their bytes for each shingle).
 
     root is the least member that the tile's allowed pairs connect id with.
     Rows with a peer are allowed pairs (id, peer), just those that connect.
     Large tiles are compared in blocks, each pair of blocks apart. A row for
     each member goes in and two at most come out, however many may link.
     """
-    rows = _in_blocks(rows, "key", F.col("n") / 4).join(signatures, "id").select("key", "i", "j", "id", "component", "n", "bits")
+    rows = _in_blocks(rows, "key", F.col("n") * weight).join(signatures, "id").select("key", "i", "j", "id", "component", "n", "bits")
 
     def members(unit: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         unit.sort(key=lambda x: x[0])
@@ -258,21 +258,26 @@ def _matching(rows: DataFrame, signatures: DataFrame, num: int, den: int) -> tup
     return found.where("peer is null").select("key", "id", "root"), found.where("peer is not null").select(F.col("id").alias("a"), F.col("peer").alias("b")).distinct()
 
 
-def _pieces_of(near: DataFrame, classes: DataFrame, weight: float) -> DataFrame:
+def _pieces_of(near: DataFrame, classes: DataFrame, weight: float, num: int, den: int) -> DataFrame:
     """(tile, id): what is compared together next, of the rows of _matching.
 
-    Members that allowed pairs connect over all tiles make a cluster. One of a
-    few blocks (weight: bytes for each shingle) is compared as a whole, so that
-    a set goes to one place instead of to all its tiles; a larger one is left in
-    its tiles.
+    Members that allowed pairs connect over all tiles make a cluster, and those
+    of a cluster in one size band a tile, so that a set goes to two places at
+    most instead of to all its tiles. A band of very many blocks (weight: bytes
+    for each shingle) is left in its tiles.
     """
     ids = stored(near.select("id").distinct())
     cluster = _components(ids, near.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct())
-    size = cluster.join(classes.select("id", "n"), "id").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    large = size.where((F.col("m") > _WHOLE * _TILE) | (F.col("n") * weight > _WHOLE * _TILE_BYTES)).select(F.col("component").alias("tile"))
-    cluster = cluster.withColumnRenamed("component", "tile")
-    own = cluster.join(large, "tile", "left_anti").select("tile", "id")
-    apart = near.select(F.col("key").alias("tile"), "id").distinct().join(cluster.join(large, "tile", "left_semi").select("id"), "id", "left_semi").select("tile", "id")
+    band = F.floor(F.log("n") / float(np.log(_BAND)) + 1e-9)
+    low = F.ceil(F.pow(F.lit(_BAND), F.col("band")) - 1e-9)
+    below = F.when((F.col("band") > 0) & (num * F.col("n") < den * low + den), F.col("band") - 1)  # as in _families
+    rows = cluster.join(classes.select("id", "n"), "id").withColumn("band", band)
+    rows = rows.select("id", "n", "component", F.explode(F.filter(F.array("band", below), lambda x: x.isNotNull())).alias("band"))
+    rows = rows.select("id", "n", F.xxhash64("component", "band").alias("tile"))
+    size = rows.groupBy("tile").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    large = size.where((F.col("m") > _WHOLE * _TILE) | (F.col("n") * weight > _WHOLE * _TILE_BYTES)).select("tile")
+    own = rows.join(large, "tile", "left_anti").select("tile", "id")
+    apart = near.select(F.col("key").alias("tile"), "id").distinct().join(rows.join(large, "tile", "left_semi").select("id"), "id", "left_semi").select("tile", "id")
     return stored(own.union(apart))
 
 
@@ -427,23 +432,23 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     labelled = members.join(label, "id")
     split_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_tiles = labelled.join(split_keys, "key", "left_semi").join(classes.select("id", "n"), "id").select("key", "id", "component", "n")
-    near, _ = _matching(open_tiles, classes.select("id", F.col("short").alias("bits")), num, den)
+    near, _ = _matching(open_tiles, classes.select("id", F.col("short").alias("bits")), 0.02, num, den)
     sized = classes.select("id", "n")
     if not near.isEmpty():
         # short signatures say little about long texts: what they leave is looked at with fine ones, of some bits a shingle
-        pieces = _pieces_of(near, classes, 2.0).withColumnRenamed("tile", "key")
+        pieces = _pieces_of(near, classes, 2.0, num, den).withColumnRenamed("tile", "key")
         tidy(pieces.sparkSession)
         fine = stored(_made(texts, classes, pieces.select("id").distinct(), words, "bits", lambda s: _bitmap(s, _FINE)))
-        near, pairs = _matching(pieces.join(label, "id").join(sized, "id"), fine, num, den)
+        near, pairs = _matching(pieces.join(label, "id").join(sized, "id"), fine, 2.0, num, den)
         # most of what fine signatures allow links, so pairs that connect it are decided first
         pairs = pairs.join(star, ["a", "b"], "left_anti")
         links = links.union(_verified(texts, classes, stored(pairs), words, num, den, seed))
         label = _components(nodes, links)
         apart = near.select("key", "id").distinct().join(label, "id").join(sized, "id")
         mixed = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        near, _ = _matching(apart.join(mixed, "key", "left_semi"), fine, num, den)
+        near, _ = _matching(apart.join(mixed, "key", "left_semi"), fine, 2.0, num, den)
         if not near.isEmpty():
-            pieces = _pieces_of(near, classes, 8.0)
+            pieces = _pieces_of(near, classes, 8.0, num, den)
             held = _made(texts, classes, pieces.select("id").distinct(), words, "shingles", lambda s: s.tobytes()).join(fine, "id")
             label = _components(nodes, links.union(_linked(pieces.join(label, "id").join(sized, "id"), held, num, den)))
     label = label.join(classes.select("id", "row"), "id")
