@@ -42,3 +42,12 @@ def test_grid_is_the_matrix_of_all_runs(spark):
     rows = spark.createDataFrame([("r1", "acc", "t", 0.5), ("r2", "acc", "u", 0.25), ("r1", "none", "t", 0.0)], "run_id string, metric string, task string, value double")
     want = [(m, t, r, row[r]) for row in runs.matrix(rows).collect() for m, t in [(row.metric, row.task)] for r in ("r1", "r2")]
     assert sorted(map(tuple, runs.grid(rows).collect())) == sorted(want) and len(want) == 4
+
+
+def test_halves_round_as_in_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT k AS event_id, r AS user_id, 'view' AS event_type, CASE WHEN k % 8 = 0 THEN [205.63, 408.51, 98.77, 314.61][r] ELSE 0.0::DOUBLE END AS value FROM range(8) t(k), range(1, 5) u(r)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for name in ("task_breakdown", "error_top5"):
+        want = sorted(con.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+        assert want and sorted(map(tuple, __spark_entry__.queries()[name](spark, str(tmp_path)).collect())) == want

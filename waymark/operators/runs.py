@@ -63,6 +63,12 @@ def last_runs(runs: DataFrame, n: int = 2) -> DataFrame:
     return runs.orderBy(F.col("timestamp").desc(), "run_id").limit(n)
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """c to so many decimals by scaling in floating point, as SQL engines round a double; F.round goes by its decimal text, and the two differ in halves."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def percent(share: Column) -> Column:
     """A share as a percentage with two decimals."""
     h = F.round(share * 10000).cast("long")
