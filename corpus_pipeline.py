@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm import decontamination, jaccard_join, quality_classifier, source_mix, token_files
-from waymark.llm.tables import stored
+from waymark.llm.tables import shrink, stored
 
 END_ID = 1
 
@@ -28,6 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    shrink(spark)  # the join before leaves large heaps
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -3,14 +3,17 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm import decontamination, exchange, line_dedup, quality_classifier, quality_rules, source_mix, surrogates, token_files
+from waymark.llm.tables import shrink
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,6 +77,28 @@ def test_quality_thresholds_follow_the_group(spark):
     assert sum(kept.values()) >= 1490
 
 
+def test_token_ids_in_bounded_memory():
+    """Eight million bytes in one batch take less than 64 MB beside them, and give the ids of the texts one by one."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"w{(i * 7 + k) % 997} lorem" for k in range(1000)) for i in range(800)]
+    batch = pa.array(texts)
+    want = [zlib.crc32(next(token_files.token_ids(pa.array([t]), path)).tobytes()) for t in texts[:3]]
+    tracemalloc.start()
+    got = [(len(x), zlib.crc32(x.tobytes())) for x in token_files.token_ids(batch, path)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(texts) and [c for _, c in got[:3]] == want
+    assert batch.nbytes > 8e6 and peak < 64e6
+
+
+def test_shrink_collects_garbage_on_executors(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    count = lambda: sum(b.getCollectionCount() for b in beans())
+    before = count()
+    shrink(spark)
+    assert count() > before
+
+
 def test_token_files(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -25,13 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.tables import in_arrow, shared_folder, stored
+from waymark.llm.tables import give_back, in_arrow, shared_folder, shrink, stored
 from waymark.llm.text import SPACES, Words, as_bytes, equal_spans, slices, split
 
 #: Token ids in a block, about; a document is never divided.
 BLOCK_IDS = 1 << 19
-#: Bytes of text whose words are encoded together, and words in one call of the tokenizer.
-SLICE_WORDS_BYTES, WORDS_AT_ONCE = 8 << 20, 5_000
+#: Bytes of text whose words are encoded together, for each of which a worker takes some 16 at once, and words in one call of the tokenizer.
+SLICE_WORDS_BYTES, WORDS_AT_ONCE = 1 << 20, 5_000
+#: Token ids that are counted at once, about.
+COUNT_IDS = 1 << 20
 #: Bytes of encoded words that a worker holds, about; when there are more it begins anew.
 HELD_BYTES = 64 << 20
 #: Token ids in a shard of the files, about.
@@ -87,6 +89,8 @@ class _Encoder:
         self.added = [x["content"] for x in own.get("added_tokens") or []]
         self.is_end = _ends(own) if self.by_word else None
         self.clear()
+        del own
+        give_back()
 
     def clear(self) -> None:
         self.key, self.raw, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
@@ -229,6 +233,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None)
     """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    shrink(spark)  # the workers' tokenizers and words are to lie beside the executors' heaps
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
@@ -245,14 +250,22 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None)
     rows = stored(rows.transform(in_arrow, tokens, "doc_id long, n long, ids binary"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total, held, size = np.zeros(0, np.int64), [], 0
         unpack = _Unpacker()
+
+        def added() -> np.ndarray:
+            c = np.bincount(np.concatenate(held)) if held else total[:0]
+            out = np.append(total, np.zeros(max(0, len(c) - len(total)), np.int64))
+            out[: len(c)] += c
+            return out
+
         for rb in batches:
-            every = [unpack(x) for x in rb.column(0).to_pylist()]
-            c = np.bincount(np.concatenate(every)) if every else total[:0]
-            if len(c) > len(total):
-                total = np.append(total, np.zeros(len(c) - len(total), np.int64))
-            total[: len(c)] += c
+            for x in rb.column(0):
+                held.append(unpack(x.as_py()))
+                size += len(held[-1])
+                if size >= COUNT_IDS:
+                    total, held, size = added(), [], 0
+        total = added()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
