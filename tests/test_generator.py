@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from waymark.operators import generator, graph
@@ -43,6 +45,22 @@ def test_narratives_and_samples_in_rows_equal_those_by_joins(spark, relations):
     assert rows(chats) == rows(generator.all_samples(relations, "S", row_edges=2))
 
 
+def test_narratives_in_batches_equal_those_by_columns(spark):
+    """Random maps, some with cycles, words that are no direction, and names that sort around the marks between them."""
+    rng = random.Random(3)
+    names = ["A", "A b", "A!", "AB", "a", "É", "{", "50%", "%s"]
+    rows_ = []
+    for m in range(150):
+        some = rng.sample(names, rng.randint(2, 9))
+        dirs = ["northeast", "northwest", "southeast", "southwest", "north", "west"] + (["above"] if m % 10 == 0 else [])
+        rows_ += [(m, k + 1, rng.choice(some), rng.choice(dirs), rng.choice(some)) for k in range(rng.randint(1, 12))]
+    df = spark.createDataFrame(rows_, "map_id long, seq long, a string, dir string, b string")
+    maps, large = graph.by_map(df)
+    got = generator._row_narratives(maps)
+    assert large is None and "MapInArrow" in plan(got) and "Exchange" not in plan(got)
+    assert rows(got) == rows(generator._column_narratives(maps)) and got.count() == 150
+
+
 def test_states_in_rows_equal_those_by_joins(spark, relations):
     nodes = generator.mentioned(relations).withColumnRenamed("entity", "node").union(spark.createDataFrame([(1, "Z"), (7, "A"), (7, "B")], "map_id long, node string"))
     got = graph.map_states(nodes, relations)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.parsing import AXES, let
-from waymark.operators import graph, worlds
+from waymark.operators import graph, narration, worlds
 
 # The inequalities that a direction from (x, y) stands for.
 LOGIC = {"North": ("=", ">"), "South": ("=", "<"), "East": (">", "="), "West": ("<", "="), "Northeast": (">", ">"), "Northwest": ("<", ">"), "Southeast": (">", "<"), "Southwest": ("<", "<")}
@@ -293,7 +293,13 @@ def _step(seq: Column, a: Column, direction: Column, b: Column, x: Column, y: Co
 
 
 def _row_narratives(rows: DataFrame) -> DataFrame:
-    """rows of graph.by_map with sentences, and steps, the text of narratives: a relation is added to the closure at each step."""
+    """rows of graph.by_map with sentences, and steps, the text of narratives; maps with other directions than the eight or without names are told by columns."""
+    plain = F.forall(F.col("rels"), lambda r: F.coalesce(r["dir"].isin(*narration.SAID) & r["a"].isNotNull() & r["b"].isNotNull(), F.lit(False)))
+    return narration.told(rows.where(plain)).union(_column_narratives(rows.where(~plain)))
+
+
+def _column_narratives(rows: DataFrame) -> DataFrame:
+    """The same by columns: a relation is added to the closure at each step."""
     nodes, rels = F.col("nodes"), F.col("rels")
     states = F.transform(graph.row_closures(nodes, rels, steps=True), lambda c: F.struct(*[graph.row_state(nodes, c[axis], c["seen"]).alias(axis) for axis in "xy"]))
     steps = F.zip_with(rels, states, lambda r, s: _step(r["seq"], r["a"], r["dir"], r["b"], s["x"], s["y"]))
